@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, packing
+from . import bpe, counts, jaccard, packing
 from .common import table
 
 
@@ -34,10 +34,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op4_packing": op4_packing,
     "op8_token_counts": op8_token_counts,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
