@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, counts, fingerprints, jaccard, packing
+from . import bpe, chunks, counts, fingerprints, jaccard, packing, secrets
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -52,7 +56,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES = {"op2_fingerprints": fingerprints.EDIT_REPORT_SQL}
+ORACLES = {"op2_fingerprints": fingerprints.EDIT_REPORT_SQL, "op9_secret_scan": secrets.REPORT_SQL}
