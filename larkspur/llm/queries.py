@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, counts, fingerprints, jaccard, packing, secrets
+from . import bpe, chunks, counts, fingerprints, jaccard, langid, packing, secrets
 from .common import table
 
 
@@ -35,6 +35,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", langid.in_held_out("doc_id"))
+    return langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "held_out"])
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +61,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
