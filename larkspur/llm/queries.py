@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, counts, fingerprints, jaccard, langid, packing, secrets
+from . import bpe, chunks, counts, fingerprints, jaccard, langid, packing, pii, secrets
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.withColumn("held_out", langid.in_held_out("doc_id"))
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
