@@ -35,7 +35,7 @@ def text_or_empty(name: str = "text") -> "F.Column":
 
 
 #: Characters of text handed to a kernel at a time; bounds a Python worker's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def map_texts(

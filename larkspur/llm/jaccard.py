@@ -44,7 +44,7 @@ from .common import cut_lineage, map_texts, text_or_empty
 from .components import connected_components
 
 #: Shingles of the texts that meet in one task, about.
-TASK_SHINGLES = 1_000_000
+TASK_SHINGLES = 300_000
 
 
 def occurrences(n: int, percent: int) -> int:
