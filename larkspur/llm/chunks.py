@@ -1,15 +1,16 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over a text's bytes; where bits 16 and 17 of it are zero and
-a word ends, a chunk ends. Borders depend on the 18 bytes before them alone, so
-an insertion moves no border beyond itself, and a passage is cut alike wherever
-it stands, but for its edges. After 64 bytes without a border every word is a
-chunk (as in one word said again and again); runs without white space are cut
-by a rarer hash value, or at the length limit.
-
-Chunks are compared by a 64-bit digest over all documents. The first place of
-a digest (smallest doc_id, then order in the text) is kept; a run of chunks
-that have an earlier place each is a repeated span if it has min_chars or more.
+A gear hash rolls over a text's bytes; where its bits from the 16th on are a
+multiple of RARITY and a word ends, a chunk ends. Borders depend on the bytes
+just before them alone, so an insertion moves no border beyond itself, and a
+passage is cut alike wherever it stands, but for its edges. After 64 bytes
+without a border every word is a chunk (as in one word said again and again);
+runs without white space are cut by a rarer hash value, or at the length limit.
+
+What is compared, by a 64-bit digest over all documents, are JOINED neighbouring
+chunks, as single short ones repeat by chance. The place in the smallest doc_id
+(within a document: the first) is kept; a run of chunks that repeat an earlier
+place is a repeated span if it has min_chars or more.
 
 Null and empty texts have no chunks. Rows that share a doc_id count as one
 document; null doc_ids count as the smallest one. An empty table gives no rows.
@@ -21,7 +22,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from . import shingles
 from .common import ensure_checkpoint_dir, map_texts
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: One word's end in so many is a border; chunks that are compared together.
+RARITY, JOINED = 5, 2
 #: A border needs the rolled window whole; so no chunk at a text's start is shorter.
 WINDOW = 32
 #: Bytes without a border or white space after which other borders count, and a chunk's longest.
@@ -59,8 +62,9 @@ def ends_of_chunks(raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
     begin = np.repeat(borders[:-1], np.diff(borders))
     since = place - np.maximum(np.maximum.accumulate(np.where(space, place, 0)), begin)
     whole = np.append(raw[1:] & 0xC0 != 0x80, True)  # the next byte starts a character
-    cut = space & ((h >> np.uint32(16)) & np.uint32(3) == 0)
-    cut |= (since > NO_SPACE) & whole & ((h >> np.uint32(16)) & np.uint32(63) == 0)
+    high = h >> np.uint32(16)
+    cut = space & (high % np.uint32(RARITY) == 0)
+    cut |= (since > NO_SPACE) & whole & (high & np.uint32(63) == 0)
     # Where nothing has cut for long (as in a word said again and again), words do.
     last = np.maximum.accumulate(np.where(cut, place, begin))
     cut |= space & (place - np.append(0, last[:-1]) > NO_SPACE)
@@ -81,41 +85,49 @@ def ends_of_chunks(raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return ends
 
 
-def cut_texts(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text the digests of its chunks and where (in characters) they end."""
+def cut_texts(texts: pa.Array) -> tuple[list[pa.Array], list[np.ndarray]]:
+    """For each text the digests of its joined chunks (null where the text has
+    had the same before) and the sizes of its chunks in characters."""
     raw, borders = shingles.buffer(texts)
     ends = ends_of_chunks(raw, borders)
     if not len(ends):
-        empty = [np.zeros(0, np.int64)] * len(texts)
-        return empty, empty
+        return [pa.array([], pa.int64())] * len(texts), [np.zeros(0, np.int64)] * len(texts)
     starts = np.append(0, ends[:-1])
     size = ends - starts
     inner = np.arange(len(raw)) - np.repeat(starts, size)
     power = np.cumprod(np.full(int(size.max()), shingles._STEP | np.uint64(1)))
     digest = shingles.mix(np.add.reduceat(_OF_BYTE[raw] * power[inner], starts) + size.astype(np.uint64))
+    joined = np.zeros(len(digest), np.uint64)
+    for k in range(JOINED):
+        joined[: len(digest) - k] += digest[k:] * shingles._PLACE[k]
+    joined = shingles.mix(joined).view(np.int64)
     chars = np.append(0, np.cumsum(raw & 0xC0 != 0x80))
+    sizes = chars[ends] - chars[starts]
     at = np.searchsorted(ends, borders, side="right")
-    digests, places = [], []
-    for k in range(len(texts)):
-        a, b = at[k], at[k + 1]
-        digests.append(digest[a:b].view(np.int64))
-        places.append(chars[ends[a:b]] - chars[borders[k]])
-    return digests, places
+    digests = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        own = joined[a : max(min(a + 1, b), b - JOINED + 1)]
+        again = np.ones(len(own), bool)
+        again[np.unique(own, return_index=True)[1]] = False
+        digests.append(pa.array(own, mask=again))
+    return digests, [sizes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def chunk_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, digests, ends of every document, written to the shared folder."""
+    """doc, digests, sizes of every document, written to the shared folder."""
 
     def kernel():
         def run(texts):
-            digests, ends = cut_texts(pa.array(texts, pa.string()))
-            return {"digests": digests, "ends": ends}
+            digests, sizes = cut_texts(pa.array(texts, pa.string()))
+            flat = pa.concat_arrays(digests) if digests else pa.array([], pa.int64())
+            ends = np.cumsum([0, *map(len, digests)])
+            return {"digests": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "sizes": sizes}
 
         return run
 
     fields = [
         T.StructField("digests", T.ArrayType(T.LongType())),
-        T.StructField("ends", T.ArrayType(T.IntegerType())),
+        T.StructField("sizes", T.ArrayType(T.IntegerType())),
     ]
     smallest = F.lit(-(1 << 63)).cast("long")
     named = df.select(F.coalesce(F.col(doc_id).cast("long"), smallest).alias("doc"), F.col(text).alias("text"))
@@ -130,34 +142,38 @@ def repeated_spans(
     df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """A row for each repeated span: doc_id, span_start, span_end (characters,
-    end exclusive), n_chunks, and first_doc_id, the document in which most of
-    its chunks stand first."""
+    end exclusive), n_chunks, and first_doc_id, the document in which its
+    beginning stands first."""
     table = chunk_table(df, doc_id, text)
     rows = table.select("doc", F.posexplode("digests").alias("i", "digest"))
-    first = rows.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "i")).alias("first")
-    ).where("times > 1")
-    later = rows.join(first.select("digest", "first"), "digest").where(F.struct("doc", "i") > F.col("first"))
-    later = later.select("doc", "i", F.col("first.doc").alias("source")).distinct()
-    lists = later.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "source"))).alias("later"))
-    # Runs of consecutive chunks: i less its place in the list is the same along a run.
-    runs = (
-        lists.select("doc", F.posexplode("later").alias("k", "c"))
-        .groupBy("doc", (F.col("c.i") - F.col("k")).alias("run"))
-        .agg(F.min("c.i").alias("a"), F.max("c.i").alias("b"), F.mode("c.source", True).alias("source"))
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("a", "b", "source")).alias("runs"))
+    own = rows.where("digest is null").select("doc", "i", F.col("doc").alias("source"))
+    rows = rows.where("digest is not null")
+    first = rows.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
+    first = first.where("source != last").select("digest", "source")
+    later = rows.join(first, "digest").where("doc != source").select("doc", "i", "source").union(own)
+    in_order = Window.partitionBy("doc").orderBy("i")
+    apart = F.col("i") - F.lag("i", 1, -JOINED - 2).over(in_order) > JOINED
+    runs = later.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(in_order))
+    runs = runs.groupBy("doc", "run").agg(
+        F.min("i").alias("a"), F.max("i").alias("b"), F.min_by("source", "i").alias("source")
     )
-    ends = table.select("doc", "ends").dropDuplicates(["doc"])
-    spans = runs.join(ends, "doc").select("doc", "ends", F.explode("runs").alias("r"))
+    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "source")).alias("runs"))
+    sizes = table.select("doc", "sizes").dropDuplicates(["doc"])
+    total = lambda n: F.aggregate(F.slice("sizes", F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + x)
+    last = F.least(F.col("r.b") + JOINED, F.size("sizes"))
     null = -(1 << 63)
-    return spans.select(
-        F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"),
-        F.when(F.col("r.a") > 0, F.element_at("ends", F.col("r.a"))).otherwise(0).cast("long").alias("span_start"),
-        F.element_at("ends", F.col("r.b") + 1).cast("long").alias("span_end"),
-        (F.col("r.b") - F.col("r.a") + 1).cast("long").alias("n_chunks"),
-        F.when(F.col("r.source") != null, F.col("r.source")).alias("first_doc_id"),
-    ).where(F.col("span_end") - F.col("span_start") >= min_chars)
+    return (
+        runs.join(sizes, "doc")
+        .select("doc", "sizes", F.explode("runs").alias("r"))
+        .select(
+            F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"),
+            total(F.col("r.a")).alias("span_start"),
+            total(last).alias("span_end"),
+            (last - F.col("r.a")).cast("long").alias("n_chunks"),
+            F.when(F.col("r.source") != null, F.col("r.source")).alias("first_doc_id"),
+        )
+        .where(F.col("span_end") - F.col("span_start") >= min_chars)
+    )
 
 
 def remove_spans(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
