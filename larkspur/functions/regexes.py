@@ -59,8 +59,8 @@ def _risky(items) -> bool:
 
 def is_simple(pattern: str) -> bool:
     """False also for what this parser doesn't know."""
-    if len(pattern) > 4_000:
-        return False
+    if len(pattern) > 4_000 or "|" in pattern and re.search(r"\)[*+{]", pattern):
+        return False  # the parser below turns (a|b) into a set; the JVM recurses
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")

@@ -169,13 +169,13 @@ def with_line_clock(rows: DataFrame) -> DataFrame:
     Numbers come from counts of the rows of each partition (a row for each),
     so no task sees all lines."""
     part = F.shiftright("ord", 33)
-    sizes = rows.groupBy(part.alias("p")).count().orderBy("p").collect()
-    table, total = {}, 0
-    for r in sizes:
-        table[r["p"]], total = total, total + r["count"]
-    if not table:
+    sizes = {r["p"]: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}
+    if not sizes:
         return rows
-    base = F.element_at(F.lit(table), part)
+    before = [0]
+    for p in range(max(sizes)):
+        before.append(before[-1] + sizes.get(p, 0))
+    base = F.element_at(F.lit(before), part.cast("int") + 1)
     w = Window.partitionBy(part).orderBy("ord")
     line = (base + F.row_number().over(w)).cast("double")
     return rows.withColumn("clock", F.coalesce("clock", line))
