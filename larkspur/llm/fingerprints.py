@@ -1,8 +1,8 @@
 """Homomorphic document fingerprints, in DataFrame functions only.
 
 A text is the multiset of its paragraphs: its lines, and within a line what
-ends with ". ", "! " or "? ". A paragraph's two SHA-256 digests give 64 bytes,
-one for each lane of a wide vector; a fingerprint is the number of paragraphs
+ends with ". ", "! " or "? ". A paragraph's SHA-256 digest gives 64 hexadecimal
+digits, one for each lane of a wide vector; a fingerprint is the number of paragraphs
 and the lanes' sums modulo 2^32. The order of paragraphs doesn't matter; equal
 multisets have equal fingerprints; a paragraph is inserted or deleted by adding
 or subtracting its vector. Seen as differences from the mean the lanes are a
@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES, CHUNKS = 64, 16
+LANES, CHUNKS = 64, 8
+#: Digits of a number in the order of their lanes (0 is the lowest).
+PLACES = (0, 4, 1, 5, 2, 6, 3, 7)
 #: Rows that a task of `with_next` holds in order, about; buckets at most.
 BUCKET_ROWS, MAX_BUCKETS = 500, 65_536
 
@@ -30,28 +32,29 @@ def paragraphs(text: Column) -> Column:
 
 
 def _numbers(paragraph: Column) -> Column:
-    """The paragraph's digests as 16 numbers of 32 bits."""
-    digest = F.concat(F.sha2(paragraph, 256), F.sha2(F.concat(F.lit("2"), paragraph), 256))
+    """The paragraph's digest as 8 numbers of 32 bits."""
+    digest = F.sha2(paragraph, 256)
     return F.transform(
-        F.sequence(F.lit(1), F.lit(8 * CHUNKS - 7), F.lit(8)),
+        F.lit([8 * k + 1 for k in range(CHUNKS)]),
         lambda at: F.conv(F.substring(digest, at, F.lit(8)), 16, 10).cast("long"),
     )
 
 
 def with_vector(df: DataFrame, text: Column, out: str) -> DataFrame:
     """df with array<long> out: the number of paragraphs, then the sums of the 64 lanes."""
-    low, byte = F.lit(0xFFFFFFFF), F.lit(0xFF)
+    low = F.lit(0xFFFFFFFF)
 
     def pair(k: int, first: int) -> Column:
-        """Sums of bytes first and first + 2 of number k, one in each half of a long."""
+        """Sums of digits first and first + 4 of number k, one in each half of a long."""
 
         def add(total: Column, x: Column) -> Column:
-            n = F.shiftright(F.element_at(x, k + 1), 8 * first)
-            return total + n.bitwiseAND(byte) + F.shiftleft(n.bitwiseAND(F.lit(0xFF0000)), 16)
+            n = F.element_at(x, k + 1)
+            n = F.shiftright(n, 4 * first) if first else n
+            return total + n.bitwiseAND(F.lit(0xF)) + F.shiftleft(n.bitwiseAND(F.lit(0xF0000)), 16)
 
         return F.aggregate("__numbers", F.lit(0).cast("long"), add)
 
-    sums = F.array(*[pair(k, first) for k in range(CHUNKS) for first in (0, 1)])
+    sums = F.array(*[pair(k, first) for k in range(CHUNKS) for first in range(4)])
     lanes = F.flatten(
         F.transform(sums, lambda s: F.array(s.bitwiseAND(low), F.shiftrightunsigned(s, 32).bitwiseAND(low)))
     )
@@ -70,7 +73,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def centred(v: Column) -> Column:
         n = F.element_at(v, 1)
-        return F.transform(F.slice(v, 2, LANES), lambda x: (2 * x - 255 * n).cast("double"))
+        return F.transform(F.slice(v, 2, LANES), lambda x: (2 * x - 15 * n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
@@ -83,11 +86,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def insert(v: Column, paragraph: Column, times: int = 1) -> Column:
     """The fingerprint vector v with a paragraph added (times -1: taken away)."""
-    byte = F.lit(0xFF)
     own = F.flatten(
         F.transform(
             _numbers(paragraph),
-            lambda n: F.array(*[F.shiftright(n, 8 * b).bitwiseAND(byte) for b in (0, 2, 1, 3)]),
+            lambda n: F.array(*[F.shiftright(n, 4 * b).bitwiseAND(F.lit(0xF)) for b in PLACES]),
         )
     )
     return F.zip_with(
@@ -131,12 +133,12 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
             F.struct(((F.col("__bucket") + 1) % n).alias("b"), F.lit(1).alias("guest")),
         ),
     ).otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("guest"))))
-    spread = keyed.withColumn("__bucket", bucket).withColumn("__at", F.explode(places))
+    spread = keyed.withColumn("__bucket", bucket).withColumn("__at", F.explode(places)).drop("__bucket")
+    spread = spread.select("*", F.col("__at.b").alias("__b"), F.col("__at.guest").alias("__guest")).drop("__at")
     tie = F.xxhash64(*columns)
-    w = Window.partitionBy("__at.b").orderBy("__at.guest", F.col("__key").desc(), tie)
-    for old, new in columns.items():
-        spread = spread.withColumn(new, F.lead(old).over(w))
-    return spread.where("__at.guest = 0").drop("__key", "__bucket", "__at")
+    w = Window.partitionBy("__b").orderBy("__guest", F.col("__key").desc(), tie)
+    spread = spread.select("*", *[F.lead(old).over(w).alias(new) for old, new in columns.items()])
+    return spread.where("__guest = 0").drop("__key", "__b", "__guest")
 
 
 def edit_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,11 +168,11 @@ def edit_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 _NUMBERS = """list_transform(
   string_split(replace(replace(replace({0}, '. ', '.' || chr(10) || ' '), '! ', '!' || chr(10) || ' '), '? ', '?' || chr(10) || ' '), chr(10)),
-  lambda p: sha256(p) || sha256('2' || p))"""
+  lambda p: sha256(p))"""
 _LANES = """list_prepend(len({0})::BIGINT, list_transform(range(64), lambda i: list_sum(list_transform({0},
-  lambda h: ((('0x' || substr(h, ((i // 4) * 8 + 1)::BIGINT, 8))::BIGINT >> (8 * [0, 2, 1, 3][(i % 4) + 1])) & 255)))::BIGINT))"""
+  lambda h: ((('0x' || substr(h, ((i // 8) * 8 + 1)::BIGINT, 8))::BIGINT >> (4 * [0, 4, 1, 5, 2, 6, 3, 7][(i % 8) + 1])) & 15)))::BIGINT))"""
 _STRING = "list_aggregate(list_transform({0}, lambda x: printf('%08x', x)), 'string_agg', '')"
-_CENTRED = "list_transform({0}[2:], lambda x: (2 * x - 255 * {0}[1])::DOUBLE)"
+_CENTRED = "list_transform({0}[2:], lambda x: (2 * x - 15 * {0}[1])::DOUBLE)"
 _LIKE = """CASE WHEN {0} = {1} THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0, round(coalesce(
   list_inner_product({0}_c, {1}_c) / nullif(sqrt(list_inner_product({0}_c, {0}_c)) * sqrt(list_inner_product({1}_c, {1}_c)), 0), 0.0), 6))) END"""
 
