@@ -116,7 +116,7 @@ def candidates(rows: DataFrame, c: Correlation, max_events: int = Caps.max_event
     else:
         made = made.withColumn("__num", to_f64(F.col("value")))
         made = _window(made, frame, F.when(F.col("__num").isNotNull(), F.struct("__rn", "__num")))
-        ordered = F.transform(F.array_sort("__win"), lambda x: x["__num"])
+        ordered = F.transform(F.sort_array("__win"), lambda x: x["__num"])
         recent = F.slice(ordered, F.greatest(F.lit(1), F.size(ordered) - (max_events - 1)), max_events)
         made = made.withColumn("__vals", recent)
         total = F.aggregate("__vals", F.lit(0.0), lambda s, x: s + x)
@@ -154,11 +154,15 @@ def _temporal(made: DataFrame, c: Correlation, arrival, span: float):
 
 
 def _regular(gaps: Column, permille: int) -> Column:
-    add = lambda s, x: s + x
-    mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), add), F.size(gaps).cast("double"))
-    spread = F.aggregate(F.transform(gaps, lambda g: (g - mean) * (g - mean)), F.lit(0.0), add)
-    bound = F.lit(permille / 1000.0) * mean
-    return (mean > 0) & (F.try_divide(spread, F.size(gaps).cast("double")) <= bound * bound)
+    n = F.size(gaps).cast("double")
+
+    def within(mean: Column) -> Column:
+        spread = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g - mean) * (g - mean))
+        bound = F.lit(permille / 1000.0) * mean
+        return (mean > 0) & (F.try_divide(spread, n) <= bound * bound)
+
+    mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), n)
+    return F.get(F.transform(F.array(mean), within), F.lit(0))  # the mean is computed once
 
 
 def _gaps(xs: Column) -> Column:
@@ -170,7 +174,7 @@ def _beacon(made: DataFrame, c: Correlation, frame, span: float, max_events: int
     enough = max(3, c.count)
     if not c.n_buckets:
         made = _window(made, frame, F.struct("__rn", "ts"))
-        times = F.transform(F.array_sort("__win"), lambda x: x["ts"])
+        times = F.transform(F.sort_array("__win"), lambda x: x["ts"])
         times = F.slice(times, F.greatest(F.lit(1), F.size(times) - (max_events - 1)), max_events)
         made = made.withColumn("__times", times).withColumn("__gaps", _gaps(F.col("__times")))
         made = made.withColumn("observed", F.size("__times").cast("long"))
@@ -179,7 +183,7 @@ def _beacon(made: DataFrame, c: Correlation, frame, span: float, max_events: int
     # The histogram's window is whole epochs; those of the last n_buckets - 1 and this one.
     made = made.withColumn("__epoch", F.floor(F.col("ts") / width))
     made = _window(made, frame, F.struct("__rn", "__epoch"))
-    epochs = F.array_sort(F.array_distinct(F.transform("__win", lambda x: x["__epoch"])))
+    epochs = F.sort_array(F.array_distinct(F.transform("__win", lambda x: x["__epoch"])))
     first = F.col("__epoch") - (c.n_buckets - 1)
     made = made.withColumn("__active", F.filter(epochs, lambda e: e >= first))
     made = made.withColumn("__gaps", _gaps(F.col("__active"))).withColumn("observed", F.lit(0).cast("long"))

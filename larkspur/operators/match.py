@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
 from ..plans import compile
 from ..plans.evaluate import Evaluator
 from ..plans.model import Kind, Op, Predicate, Rule, RuleSet, Verdict
@@ -57,6 +58,25 @@ def hits_column(rules: RuleSet, field: Resolver, routed: bool = True, allow: dic
     return F.array_compact(F.array(*cells)).cast(T.ArrayType(HIT))
 
 
+class Projected:
+    """A resolver over columns that hold each field, and each folded field, once."""
+
+    def __init__(self, field: Resolver, rules: RuleSet):
+        self.field = field
+        self.names = {f: f"__field_{i}" for i, f in enumerate(_needed(rules))}
+        self.fold_names = {f: f"__fold_{i}" for i, f in enumerate(compile.folded_fields(rules))}
+        self.folded = {f: F.col(n) for f, n in self.fold_names.items()}
+
+    def __call__(self, name: str) -> Column:
+        return F.col(self.names[name]) if name in self.names else self.field(name)
+
+    def columns(self, field: Resolver) -> list[Column]:
+        return [field(f).alias(n) for f, n in self.names.items()]
+
+    def folds(self) -> list[Column]:
+        return [text.fold(F.col(self.names[f])).alias(n) for f, n in self.fold_names.items()]
+
+
 def _needed(rules: RuleSet) -> list[str]:
     return sorted({*rules.fields(), *compile.ROUTE_FIELDS})
 
@@ -71,11 +91,9 @@ def match(
     "auto" takes the second for large rule sets. Both give the same hits.
     """
     if strategy == "native" or strategy == "auto" and len(rules.rules) < ARROW_FROM:
-        # Fields are projected once, under names that nothing else has.
-        names = {f: f"__field_{i}" for i, f in enumerate(_needed(rules))}
-        wide = df.select("*", *[field(f).alias(n) for f, n in names.items()])
-        projected = lambda f: F.col(names[f]) if f in names else field(f)
-        return wide.withColumn(out, hits_column(rules, projected, routed)).drop(*names.values())
+        ready = Projected(field, rules)
+        wide = df.select("*", *ready.columns(field)).select("*", *ready.folds())
+        return wide.withColumn(out, hits_column(rules, ready, routed)).drop(*ready.names.values(), *ready.fold_names.values())
     return _match_arrow(df, rules, field, routed, out)
 
 
@@ -214,5 +232,11 @@ _SELECTIONS = f"array<struct<index:int,matched:boolean,predicates:{_PREDICATES}>
 
 
 def explain(df: DataFrame, rules: RuleSet, rule_id: int, field: Resolver, out: str = "explanation") -> DataFrame:
-    return df.withColumn(out, explain_column(rules, rule_id, field))
+    position = rules.position(rule_id)
+    if position is None:
+        raise KeyError(rule_id)
+    ready = Projected(field, RuleSet((rules.rules[position],)))
+    wide = df.select("*", *ready.columns(field)).select("*", *ready.folds())
+    told = wide.withColumn(out, explain_column(rules, rule_id, ready))
+    return told.drop(*ready.names.values(), *ready.fold_names.values())
 

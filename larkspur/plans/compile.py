@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import network, regexes, text
-from .model import MAX_DEPTH, NUMERIC, Kind, Op, Predicate, Rule, RuleSet, Selection, Token
+from .model import MAX_DEPTH, NUMERIC, TEXTUAL, Kind, Op, Predicate, Rule, RuleSet, Selection, Token
 
 # The fields that route an event, in order.
 ROUTE_FIELDS = (
@@ -37,12 +37,29 @@ def _test(p: Predicate, v: Column, field) -> Column:
     if p.op == Op.RE:
         return F.lit(False) if p.value is None else regexes.matches(v, p.value, p.cased)
     if p.fieldref:
-        other = field(p.value)
-        return _textual(p.op, v if p.cased else text.fold(v), other if p.cased else text.fold(other))
+        return _textual(p.op, _folded(p.field, p, field), _folded(p.value, p, field))
     if p.value is None:
         return F.lit(False)
     operand = F.lit(p.value if p.cased else text.fold_literal(p.value))
-    return _textual(p.op, v if p.cased else text.fold(v), operand)
+    return _textual(p.op, _folded(p.field, p, field), operand)
+
+
+def _folded(name: str, p: Predicate, field) -> Column:
+    """The field as the predicate compares it; a resolver may have it ready."""
+    if p.cased:
+        return field(name)
+    ready = getattr(field, "folded", {})
+    return ready[name] if name in ready else text.fold(field(name))
+
+
+def folded_fields(rules: RuleSet) -> list[str]:
+    """Fields that some predicate compares without regard to case."""
+    out = set()
+    for r in rules.rules:
+        for p in r.predicates():
+            if p.op in TEXTUAL and not p.cased:
+                out |= {p.field, p.value} if p.fieldref else {p.field}
+    return sorted(out)
 
 
 def _textual(op: Op, v: Column, operand: Column) -> Column:

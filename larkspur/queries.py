@@ -621,7 +621,12 @@ def _apply_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.watched(rows, _COUNT, field, mine).select(F.col("ord").alias("event_id"))
 
 
-_add("apply_filter", _apply_filter)
+_add(
+    "apply_filter",
+    _apply_filter,
+    _OWNER_SQL.replace("SELECT DISTINCT user_id, event_type, 'brute' || chr(9) || CAST(user_id AS VARCHAR) || chr(9) || event_type", "SELECT DISTINCT user_id, 0 AS event_type, 'count' || chr(9) || CAST(user_id AS VARCHAR)").split("    SELECT user_id")[0]
+    + " SELECT event_id FROM events JOIN f USING (user_id) WHERE h5 % 4 = 1 AND events.event_type IN ('click', 'view', 'purchase', 'signup', 'logout')",
+)
 
 
 def _partials(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
