@@ -17,6 +17,7 @@ from .text import to_f64
 # The fields that may hold an event's time, in order.
 TIME_FIELDS = ("@timestamp", "time", "timestamp", "event.created")
 DATE_FIELD, CLOCK_FIELD = "event.date", "event.time"
+ALL_FIELDS = (*TIME_FIELDS, DATE_FIELD, CLOCK_FIELD)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 #: A clock: hours, minutes, and seconds as any number's prefix.
