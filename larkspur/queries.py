@@ -353,6 +353,15 @@ _add(
 )
 
 
+def _load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, stats = corrfile.loads(CORRELATION_FILE)
+    row = (stats.rules_rejected, stats.rids_dropped, stats.baserules_truncated, stats.groupby_truncated)
+    return spark.createDataFrame([row], "rules_rejected int, rids_dropped int, baserules_truncated int, groupby_truncated int")
+
+
+_add("load_stats", _load_stats, "SELECT 1::INT AS rules_rejected, 0::INT AS rids_dropped, 0::INT AS baserules_truncated, 0::INT AS groupby_truncated")
+
+
 # --- event time ------------------------------------------------------------------------
 
 
@@ -547,16 +556,43 @@ def _fires_sql(c: Correlation) -> str:
     SELECT '{c.id}' AS corr_id, g AS grp, event_id, observed::BIGINT AS observed, {c.count}::BIGINT AS threshold, '{c.tier}' AS tier FROM fires"""
 
 
+def _ordered_sql(c: Correlation, unless: int = -1) -> str:
+    """A sequence as a recursion over each group's events; no fire while the rule
+    `unless` has matched within the time span. Each event has one rule."""
+    t, order = c.timespan_s, list(c.order)
+    case = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RULE_OF.items()) + " ELSE 0 END"
+    rids = ", ".join(map(str, c.base_rule_ids))
+    done = f"p1 >= {len(order)}"
+    fires = f"{done} AND e >= u AND NOT coalesce(s1 >= e - {t}, false)"
+    return f"""WITH RECURSIVE n AS (
+      SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_id) AS k FROM (
+        SELECT event_id, CAST(user_id AS VARCHAR) AS g, epoch(ts) AS e, {case} AS rid FROM events) WHERE rid IN ({rids})),
+    st AS (
+      SELECT DISTINCT g, 0::BIGINT AS k, 0::BIGINT AS p, 0::DOUBLE AS a, 0::DOUBLE AS u, NULL::DOUBLE AS s, false AS fire, 0::BIGINT AS event_id FROM n
+      UNION ALL
+      SELECT g, k, CASE WHEN {done} THEN 0 ELSE p1 END, a1, CASE WHEN {fires} THEN e + {t} ELSE u END, s1, {fires}, event_id FROM (
+        SELECT g, k, event_id, e, u, s1, p0 + (rid = {order}[p0 + 1])::BIGINT AS p1, CASE WHEN p0 = 0 AND rid = {order[0]} THEN e ELSE a END AS a1 FROM (
+          SELECT n.g, n.k, n.event_id, n.e, n.rid, st.a, st.u, CASE WHEN n.rid = {unless} THEN n.e ELSE st.s END AS s1,
+            CASE WHEN st.p > 0 AND st.a < n.e - {t} THEN 0 ELSE st.p END AS p0
+          FROM st JOIN n ON n.g = st.g AND n.k = st.k + 1)))
+    SELECT '{c.id}' AS corr_id, g AS grp, event_id, {len(c.base_rule_ids)}::BIGINT AS observed, {c.count}::BIGINT AS threshold, '{c.tier}' AS tier FROM st WHERE fire"""
+
+
 for _key, _c in CORRELATIONS.items():
-    _add(_key, partial(_correlation, c=_c), None if _c.type == "temporal_ordered" else _fires_sql(_c))
+    if _c.type == "temporal_ordered":
+        _add(_key, partial(_correlation, c=_c), _ordered_sql(_c, 5 if _c.condition else -1))
+    else:
+        _add(_key, partial(_correlation, c=_c), _fires_sql(_c))
 _CHAIN = CORRELATIONS["corr_temporal_ordered"]
-_add("corr_ordered_evtime", partial(_correlation, c=_CHAIN, how="fold", caps=Caps(event_time=True)))
+_add("corr_ordered_evtime", partial(_correlation, c=_CHAIN, how="fold", caps=Caps(event_time=True)), _ordered_sql(_CHAIN))
 _add("corr_ordered_watermark", partial(_correlation, c=_CHAIN, how="fold", caps=EVENT_TIME))
 _COUNT = CORRELATIONS["corr_event_count"]
 for _key, _name in (("corr_fold_event_count", "corr_event_count"), ("corr_fold_value_sum", "corr_value_sum"), ("corr_fold_beacon", "corr_beacon_raw")):
     _add(_key, partial(_correlation, c=CORRELATIONS[_name], how="fold"), _fires_sql(CORRELATIONS[_name]))
 _add("cap_distinct", partial(_correlation, c=CORRELATIONS["corr_value_count"], how="fold", caps=Caps(max_distinct=4)))
-_add("cap_ring", partial(_correlation, c=Correlation("ring", "event_count", ALL, 30 * DAY, group_by=("user",), count=6, op="eq"), how="fold", caps=Caps(max_events=6)))
+_RING = Correlation("ring", "event_count", ALL, 30 * DAY, group_by=("user",), count=6, op="eq")
+# Once a ring of six is full its count stays six.
+_add("cap_ring", partial(_correlation, c=_RING, how="fold", caps=Caps(max_events=6)), _fires_sql(_RING).replace("WHERE o = 6", "WHERE o >= 6").replace("o AS observed", "6 AS observed"))
 
 
 def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
