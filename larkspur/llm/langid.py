@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,7 @@ from .common import map_texts
 SAMPLE_DOCS, MAX_LANGUAGES = 300, 256
 ROUNDS = 2
 #: Letters of a word that are scored together, and numbers that a worker keeps of words.
-LONGEST, CACHED_NUMBERS = 150, 4_000_000
+LONGEST, CACHED_NUMBERS = 150, 1_000_000
 #: Probability of a character that no piece covers, and what keeps products in range.
 FLOOR, SCALE = 1e-6, 12.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -68,7 +69,8 @@ class Lattice:
 
     def __init__(self, pieces: Pieces, batch: list[str]):
         sizes = np.array([len(w) + 1 for w in batch], np.int64)
-        found = np.array(list(pieces.matches.iter("".join(START + w for w in batch))), np.int64).reshape(-1, 2)
+        places = pieces.matches.iter("".join(START + w for w in batch))
+        found = np.fromiter(chain.from_iterable(places), np.int64).reshape(-1, 2)
         first = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(batch)), sizes)[found[:, 0]]
         end = found[:, 0] - first[word] + 1
@@ -173,7 +175,7 @@ class Scorer:
     def _learn(self, new: list[str]) -> None:
         base = len(self.place)
         self.place.update(zip(new, range(base, base + len(new)), strict=True))
-        parts = [Lattice(self.pieces, new[k : k + 20_000]).scores(self.probs) for k in range(0, len(new), 20_000)]
+        parts = [Lattice(self.pieces, new[k : k + 5_000]).scores(self.probs) for k in range(0, len(new), 5_000)]
         need = base + len(new)
         if need > len(self.rows):
             more = np.zeros((max(need, 2 * len(self.rows)), len(self.langs)), np.float32)
