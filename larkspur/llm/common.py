@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,10 +32,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared checkpoint folder, and its path."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def remove_written(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written` made, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_or_empty(name: str = "text") -> "F.Column":
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows of an Arrow batch: at 10,000 (Spark's default) batches of texts, on either
+#: side of the pipe, would be most of an executor's memory.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes this session's Arrow batches small, if they aren't already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 #: Characters of text handed to a kernel at a time; bounds a Python worker's memory.
 SLICE_CHARS = 1_000_000
 
@@ -51,6 +80,7 @@ def map_texts(
     to the new columns. A null text counts as empty. One Arrow pass without a
     shuffle: a lost executor costs the recomputation of its partitions only.
     """
+    bounded_batches(df.sparkSession)
     src = "__text"
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     made = [f.name for f in fields]
@@ -70,10 +100,24 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(out.field(i).type) for i, c in enumerate(cols)], schema=out
                 )
+        del fn
+        give_back_memory()
 
     return df.select(*keep, text_or_empty(text).alias(src)).mapInArrow(run, schema)
 
 
+def give_back_memory() -> None:
+    """What a task has freed goes back to the system: workers outlive tasks, and
+    the next one may be of another kind."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """batch in slices of about SLICE_CHARS bytes of column."""
     import numpy as np

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe, vocab
-from .common import slices, text_or_empty
+from .common import bounded_batches, give_back_memory, slices, text_or_empty
 
 #: Windows that a task keeps open; bounds its memory.
 MAX_OPEN = 4096
@@ -180,6 +180,7 @@ def pack(
     with_ids adds the piece's identifiers (ids array<int>).
     sequence_id is the task's number times 2^33 plus a running number.
     """
+    bounded_batches(df.sparkSession)
     schema = T.StructType([T.StructField(c, T.LongType()) for c in COLUMNS])
     if with_ids:
         schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -215,6 +216,7 @@ def pack(
                 yield flush()
         packer.finish()
         yield flush()
+        give_back_memory()
 
     return df.select(F.col(doc_id).cast("long").alias("__doc"), text_or_empty(text).alias("__text")).mapInArrow(
         run, schema
