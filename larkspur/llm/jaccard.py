@@ -30,21 +30,18 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import cut_lineage, map_texts, text_or_empty
+from .common import cut_lineage, give_back_memory, map_texts, text_or_empty
 from .components import connected_components
 
-#: Shingles of the texts that meet in one task, about.
-TASK_SHINGLES = 300_000
+#: Shingles of a piece of a large block, and of the small blocks that share a task.
+TASK_SHINGLES, SHARED_SHINGLES = 300_000, 100_000
 
 
 def occurrences(n: int, percent: int) -> int:
@@ -117,12 +114,13 @@ def search(sets: list[np.ndarray], percent: int) -> np.ndarray:
     ends = np.cumsum(sizes)
     flat = np.concatenate([sets[i] for i in order])
     _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(often), np.int64)
-    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    del flat
+    rank = np.empty(len(often), np.int32)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
     token = rank[token]  # 0 is the shingle with the shortest list
-    owner = np.repeat(np.arange(m), sizes)
-    by = np.lexsort((owner, token))
-    lists, length = owner[by], np.sort(often, kind="stable")
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    lists, length = owner[np.argsort(token, kind="stable")], np.sort(often, kind="stable")
+    del owner, rank
     begin = np.cumsum(length) - length
     rows = [np.sort(token[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
     for x in range(m):
@@ -196,7 +194,7 @@ def _tasks(blocks: DataFrame, task_shingles: int) -> DataFrame:
     """node, task: where each node's text goes; pieces of large blocks go to several."""
     weight = blocks.groupBy("block").agg(F.sum("n").alias("weight"))
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = max(1, -(-total // task_shingles))
+    groups = max(1, -(-total // min(task_shingles, SHARED_SHINGLES)))
     parts = F.ceil(F.col("weight") / task_shingles)
     piece = F.pmod(F.xxhash64("node"), parts)
     pairs = F.transform(
@@ -213,19 +211,22 @@ def links(df: DataFrame, nodes: DataFrame, tasks: DataFrame, k: int, percent: in
     wanted = tasks.join(nodes, "node").select("task", "node", "doc")
     rows = texts.join(wanted, texts["doc"].eqNullSafe(wanted["doc"])).select("task", "node", "text")
 
-    def find(batch: pd.DataFrame) -> pd.DataFrame:
-        sets = shingles.shingle_sets(pa.array(batch["text"], pa.string()), k)
-        nodes = batch["node"].to_numpy()
+    def find(rows: pa.Table) -> pa.Table:
+        sets = shingles.shingle_sets(rows.column("text").combine_chunks(), k)
         # A doc_id may stand in several rows: only the text that made the node counts.
         mine: dict[int, np.ndarray] = {}
-        for node, s in zip(nodes, sets, strict=True):
+        for node, s in zip(rows.column("node").to_pylist(), sets, strict=True):
             if len(s) and node_of(s) == node:
-                mine.setdefault(int(node), s)
+                mine.setdefault(node, s)
+        del sets
         ids = np.array(sorted(mine), np.int64)
-        label = search([mine[int(i)] for i in ids], percent)
-        return pd.DataFrame({"node": ids, "other": ids[label] if len(ids) else ids}).query("node != other")
+        other = ids[search([mine[int(i)] for i in ids], percent)] if len(ids) else ids
+        mine.clear()
+        give_back_memory()
+        linked = ids != other
+        return pa.table({"node": ids[linked], "other": other[linked]})
 
-    return rows.groupBy("task").applyInPandas(find, "node long, other long")
+    return rows.groupBy("task").applyInArrow(find, "node long, other long")
 
 
 def link_components(
