@@ -18,8 +18,6 @@ document; null doc_ids count as the smallest one. An empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import ensure_checkpoint_dir, map_texts
+from .common import cut_lineage, map_texts, remove_written, written
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: One word's end in so many is a border; chunks that are compared together.
@@ -36,6 +34,8 @@ RARITY, JOINED = 5, 2
 WINDOW = 32
 #: Bytes without a border or white space after which other borders count, and a chunk's longest.
 NO_SPACE, LONGEST = 64, 1024
+#: Spans (some 50 bytes each) whose lists are broadcast rather than shuffled.
+FEW_SPANS = 500_000
 #: Characters of a run of repeated chunks that count as a repeated span.
 MIN_CHARS = 100
 _OF_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,7 +114,7 @@ def cut_texts(texts: pa.Array) -> tuple[list[pa.Array], list[np.ndarray]]:
 
 
 def chunk_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, digests, sizes of every document, written to the shared folder."""
+    """doc, digests, sizes of every document."""
 
     def kernel():
         def run(texts):
@@ -131,11 +131,7 @@ def chunk_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     ]
     smallest = F.lit(-(1 << 63)).cast("long")
     named = df.select(F.coalesce(F.col(doc_id).cast("long"), smallest).alias("doc"), F.col(text).alias("text"))
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/chunks-{uuid.uuid4()}"
-    map_texts(named, kernel, fields, ["doc"]).write.parquet(path)
-    return spark.read.parquet(path)
+    return map_texts(named, kernel, fields, ["doc"])
 
 
 def repeated_spans(
@@ -143,8 +139,15 @@ def repeated_spans(
 ) -> DataFrame:
     """A row for each repeated span: doc_id, span_start, span_end (characters,
     end exclusive), n_chunks, and first_doc_id, the document in which its
-    beginning stands first."""
-    table = chunk_table(df, doc_id, text)
+    beginning stands first. The chunks are written to the shared folder and
+    deleted when the spans are there."""
+    table, path = written(chunk_table(df, doc_id, text), "chunks")
+    spans = cut_lineage(_spans(table, min_chars))
+    remove_written(df.sparkSession, path)
+    return spans
+
+
+def _spans(table: DataFrame, min_chars: int) -> DataFrame:
     rows = table.select("doc", F.posexplode("digests").alias("i", "digest"))
     own = rows.where("digest is null").select("doc", "i", F.col("doc").alias("source"))
     rows = rows.where("digest is not null")
@@ -176,7 +179,9 @@ def repeated_spans(
     )
 
 
-def remove_spans(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_spans(
+    df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", few: int = FEW_SPANS
+) -> DataFrame:
     """df with each text freed of its spans (of one doc_id); other rows as they are."""
 
     @F.udf(T.StringType(), useArrow=True)
@@ -192,6 +197,8 @@ def remove_spans(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text:
     lists = spans.groupBy(F.col("doc_id").alias("__doc")).agg(
         F.collect_list(F.array("span_start", "span_end")).alias("__cuts")
     )
+    if spans.count() <= few:  # else texts and lists are shuffled to each other
+        lists = F.broadcast(lists)
     joined = df.join(lists, df[doc_id].eqNullSafe(F.col("__doc")), "left")
     new = F.when(F.col("__cuts").isNull(), df[text]).otherwise(without(df[text], F.col("__cuts")))
     return joined.select(*[new.alias(c) if c == text else df[c] for c in df.columns])

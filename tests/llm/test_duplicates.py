@@ -145,6 +145,8 @@ def test_repeated_passages_are_found_and_clean_texts_are_not(spark):
     for r in spans:
         assert texts[r["doc_id"]][r["span_start"] : r["span_end"]].strip() in texts[r["first_doc_id"]]
     left = {r["doc_id"]: r["text"] for r in chunks.remove_spans(df, chunks.repeated_spans(df)).collect()}
+    shuffled = chunks.remove_spans(df, chunks.repeated_spans(df), few=-1).collect()
+    assert {r["doc_id"]: r["text"] for r in shuffled} == left
     assert len(left) == len(rows) and all(left[i] == t for i, t in rows if i not in later)
     assert all(len(left[i]) < len(texts[i]) for i in later)
 
