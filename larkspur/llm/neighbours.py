@@ -10,9 +10,12 @@ Indexing covers every vector: it goes to the list of its nearest centroid, and
 a vector on a boundary also to the next ones, up to COPIES in all, whose
 distance is at most BOUNDARY times the nearest one's. Searching visits the
 lists whose centroids are within RATIO times the distance of the query's
-nearest centroid, LISTS of them at most. Long lists are cut into blocks; a
-block and the queries that visit it meet in one task, which compares the
-original vectors in double precision.
+nearest centroid, `visits(lists)` of them at most: LISTS, and more with the
+square root of the number of lists, as a fixed number finds less and less of a
+growing table. Long lists are cut into blocks; a block and the queries that
+visit it meet in one task, which compares the original vectors in double
+precision. Queries that found fewer than k search again, WIDER times as many
+lists whatever their distance, until they have k or have visited every list.
 
 Equal vectors are one entry that holds its smallest k + 1 identifiers (more
 could not be among any query's k nearest), and equal queries are one search.
@@ -42,11 +45,18 @@ SAMPLE, MAX_LISTS = 20_000, 8_192
 #: Vectors of a list, about; blocks of a list and of its queries in one task.
 LIST, BLOCK, QUERY_BLOCK = 400, 4_000, 4_000
 COPIES, BOUNDARY = 4, 1.15
-LISTS, RATIO = 48, 1.35
+#: Lists that a query visits of FEW_LISTS or fewer, how far they may be, and how
+#: many times as many a query visits that found too few.
+LISTS, FEW_LISTS, RATIO, WIDER = 48, 128, 1.35, 4
 #: Links of a centroid in the graph; how many best centroids a search keeps.
 DEGREE, BEAM = 24, 96
 
 
+def visits(lists: int) -> int:
+    """How many lists a query visits at first."""
+    return min(lists, int(np.ceil(LISTS * max(1.0, lists / FEW_LISTS) ** 0.5)))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
     return np.sqrt(np.maximum(d, 0))
@@ -146,8 +156,9 @@ def _distinct(df: DataFrame, vec_id: str, vector: str, k: int, is_query: Column)
     return entries, queries
 
 
-def _routed(df: DataFrame, graph, keep: list[str], copies: int, ratio: float, what: str) -> DataFrame:
-    """A row for each list that a vector goes to: the nearest, and others by distance ratio."""
+def _routed(df: DataFrame, graph, keep: list[str], copies: int, ratio: float | None) -> DataFrame:
+    """A row for each list that a vector goes to: the nearest, and others by distance
+    ratio. Without a ratio they are the nearest by all centroids, not by the graph."""
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("list", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +167,11 @@ def _routed(df: DataFrame, graph, keep: list[str], copies: int, ratio: float, wh
             vectors = np.array(batch.column("v").to_pylist(), np.float64)
             rows, lists = [], []
             for i, v in enumerate(vectors):
-                ids, d = g.search(v)
-                near = ids[:copies][d[:copies] <= ratio * d[0] + 1e-12]
+                if ratio is None:
+                    near = np.argsort(distances(v[None], g.centres)[0], kind="stable")[:copies]
+                else:
+                    ids, d = g.search(v, max(BEAM, 2 * copies))
+                    near = ids[:copies][d[:copies] <= ratio * d[0] + 1e-12]
                 rows += [i] * len(near)
                 lists += near.tolist()
             part = batch.select(keep).take(pa.array(rows, pa.int64()))
@@ -168,32 +182,9 @@ def _routed(df: DataFrame, graph, keep: list[str], copies: int, ratio: float, wh
     return df.select(*keep).mapInArrow(run, schema)
 
 
-def search(
-    df: DataFrame,
-    is_query: Column,
-    k: int = 10,
-    vec_id: str = "vec_id",
-    vector: str = "embedding",
-) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found of each query."""
-    spark = df.sparkSession
-    entries, queries = _distinct(df, vec_id, vector, k, is_query)
-    entries = cut_lineage(entries.withColumn("e", F.xxhash64("v")))
-    n = entries.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
-    share = min(1.0, 1.3 * SAMPLE / n)
-    drawn = entries.where(F.pmod("e", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("e", "v")
-    sample = np.array([r["v"] for r in drawn.orderBy("e").limit(SAMPLE).collect()], np.float64)
-    lists = int(min(MAX_LISTS, len(sample), max(1, n // LIST)))
-    graph = spark.sparkContext.broadcast(Graph.of(balanced_centroids(sample, lists)))
-
-    posted = _routed(entries, graph, ["v", "ids"], COPIES, BOUNDARY, "entries")
-    searches = queries.groupBy("v").agg(F.lit(1).alias("one")).withColumn("s", F.xxhash64("v")).select("s", "v")
-    visits = cut_lineage(_routed(searches, graph, ["s", "v"], LISTS, RATIO, "searches"))
+def _answers(posted: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """s, near: the k + 1 nearest of each search in the lists that it visits."""
     # How many blocks each list and its queries are cut into (a row for each list).
-    posted = cut_lineage(posted)
     sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     sizes = sizes.join(
         visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("shares")), "list"
@@ -232,7 +223,44 @@ def search(
     # Boundary copies are found in several lists.
     best = Window.partitionBy("s").orderBy("score", "vec_id")
     found = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    answers = found.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    return found.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+
+
+def search(
+    df: DataFrame,
+    is_query: Column,
+    k: int = 10,
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found of each query."""
+    spark = df.sparkSession
+    entries, queries = _distinct(df, vec_id, vector, k, is_query)
+    entries = cut_lineage(entries.withColumn("e", F.xxhash64("v")))
+    n = entries.count()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    share = min(1.0, 1.3 * SAMPLE / n)
+    drawn = entries.where(F.pmod("e", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("e", "v")
+    sample = np.array([r["v"] for r in drawn.orderBy("e").limit(SAMPLE).collect()], np.float64)
+    lists = int(min(MAX_LISTS, len(sample), max(1, n // LIST)))
+    graph = spark.sparkContext.broadcast(Graph.of(balanced_centroids(sample, lists)))
+
+    posted = cut_lineage(_routed(entries, graph, ["v", "ids"], COPIES, BOUNDARY))
+    searches = queries.groupBy("v").agg(F.lit(1).alias("one")).withColumn("s", F.xxhash64("v")).select("s", "v")
+    wide, ratio, answers = visits(lists), RATIO, None
+    while True:
+        found = cut_lineage(_answers(posted, cut_lineage(_routed(searches, graph, ["s", "v"], wide, ratio)), k))
+        answers = found if answers is None else answers.unionByName(found)
+        if lists == 1 or ratio is None and wide == lists:
+            break
+        # k + 1 found hold k others. Who found fewer looks farther, in the end everywhere.
+        enough = answers.where(F.size("near") > k)
+        searches = cut_lineage(searches.join(enough, "s", "left_anti"))
+        if searches.isEmpty():
+            break
+        answers, wide, ratio = enough, min(lists, WIDER * wide), None
     own = queries.select("query_id", F.xxhash64("v").alias("s")).join(answers, "s")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return own.select("query_id", F.posexplode(others).alias("at", "x")).select(

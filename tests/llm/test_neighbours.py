@@ -78,3 +78,35 @@ def test_clusters_are_balanced():
     centres = neighbours.balanced_centroids(vectors, 10)
     sizes = np.bincount(neighbours.distances(vectors, centres).argmin(1), minlength=10)
     assert sizes.max() <= 900
+
+
+def test_visits_grow_with_the_lists():
+    assert [neighbours.visits(n) for n in (1, 48, 128)] == [1, 48, 48]
+    # 800,000 uniform unit vectors have 2,000 lists; fitted and searched on a sample of the near ones.
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(200_000, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    centres = neighbours.balanced_centroids(vectors[:20_000].astype(np.float64), 2_000, rounds=3)
+    found = []
+    for q in range(60):
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        near = vectors[np.argpartition(d, 11)[:11]].astype(np.float64)
+        d = neighbours.distances(near, centres)
+        lists = np.argsort(neighbours.distances(vectors[q : q + 1].astype(np.float64), centres)[0])
+        seen = set(lists[: neighbours.visits(2_000)].tolist())
+        found += [bool(seen & set(row[: neighbours.COPIES].tolist())) for row in np.argsort(d, 1)]
+    assert np.mean(found) >= 0.9
+
+
+def test_small_far_groups_find_k(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(2_000, 8)).astype(np.float32)
+    vectors[:3] = 500 + rng.normal(size=(3, 8))  # three vectors far from the rest, and one still farther
+    vectors[3] = -3_000
+    ids = np.arange(2_000)
+    got = neighbours.search(frame(spark, ids, vectors), F.col("vec_id") < 4).collect()
+    wide = vectors.astype(np.float64)
+    for q in range(4):
+        rows = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [r for r, _ in rows] == list(range(1, 11))
+        assert {v for _, v in rows[:2]} == {v for v, _ in exact(ids, wide, q, 2)}
