@@ -4,13 +4,16 @@ A gear hash rolls over a text's bytes; where its bits from the 16th on are a
 multiple of RARITY and a word ends, a chunk ends. Borders depend on the bytes
 just before them alone, so an insertion moves no border beyond itself, and a
 passage is cut alike wherever it stands, but for its edges. After 64 bytes
-without a border every word is a chunk (as in one word said again and again);
-runs without white space are cut by a rarer hash value, or at the length limit.
+without a border every word is a chunk (as in one word said again and again).
+Han and Kana, and runs of more than 24 bytes without white space, are also cut
+at characters, so often that a chunk has about DENSE bytes there, too.
 
 What is compared, by a 64-bit digest over all documents, are JOINED neighbouring
 chunks, as single short ones repeat by chance. The place in the smallest doc_id
 (within a document: the first) is kept; a run of chunks that repeat an earlier
-place is a repeated span if it has min_chars or more.
+place is a repeated span if it has min_chars or more. A passage's edges, as far
+as its first and behind its last border, are not counted: of passages that have
+few more than min_chars many are not found (the README has figures).
 
 Null and empty texts have no chunks. Rows that share a doc_id count as one
 document; null doc_ids count as the smallest one. An empty table gives no rows.
@@ -32,8 +35,10 @@ GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 RARITY, JOINED = 5, 2
 #: A border needs the rolled window whole; so no chunk at a text's start is shorter.
 WINDOW = 32
-#: Bytes without a border or white space after which other borders count, and a chunk's longest.
-NO_SPACE, LONGEST = 64, 1024
+#: Bytes without a border after which every word ends a chunk, and a chunk's longest.
+NO_BORDER, LONGEST = 64, 1024
+#: Bytes without white space after which characters are borders, one in DENSE bytes (a power of 2).
+NO_SPACE, DENSE = 24, 32
 #: Spans (some 50 bytes each) whose lists are broadcast rather than shuffled.
 FEW_SPANS = 500_000
 #: Characters of a run of repeated chunks that count as a repeated span.
@@ -62,12 +67,14 @@ def ends_of_chunks(raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
     begin = np.repeat(borders[:-1], np.diff(borders))
     since = place - np.maximum(np.maximum.accumulate(np.where(space, place, 0)), begin)
     whole = np.append(raw[1:] & 0xC0 != 0x80, True)  # the next byte starts a character
-    high = h >> np.uint32(16)
-    cut = space & (high % np.uint32(RARITY) == 0)
-    cut |= (since > NO_SPACE) & whole & (high & np.uint32(63) == 0)
+    cut = space & ((h >> np.uint32(16)) % np.uint32(RARITY) == 0)
+    # The five bits below the 16th are of 16 bytes; wider characters are cut as much oftener.
+    lead = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, place, 0))
+    unspaced = (since > NO_SPACE) | (raw[lead] >= 0xE3) & (raw[lead] <= 0xE9)  # U+3000 to U+9FFF
+    cut |= unspaced & whole & ((h >> np.uint32(11)) & np.uint32(DENSE - 1) < place - lead + 1)
     # Where nothing has cut for long (as in a word said again and again), words do.
     last = np.maximum.accumulate(np.where(cut, place, begin))
-    cut |= space & (place - np.append(0, last[:-1]) > NO_SPACE)
+    cut |= space & (place - np.append(0, last[:-1]) > NO_BORDER)
     cut &= place - begin >= WINDOW
     ends = np.union1d(np.flatnonzero(cut) + 1, borders[1:])
     ends = ends[ends > 0]

@@ -170,3 +170,19 @@ def test_chunks_of_odd_and_no_rows(weird, nothing):
     assert chunks.remove_spans(weird, spans).count() == weird.count()
     assert chunks.remove_spans(weird, spans).columns == weird.columns
     assert chunks.repeated_spans(nothing).count() == 0
+
+
+def test_passages_without_white_space_are_found(spark):
+    rng = random.Random(12)
+    han = lambda n: "".join("。" if i % 20 == 19 else chr(rng.randint(0x4E00, 0x9FA5)) for i in range(n))
+    thai = lambda n: "".join(" " if i % 30 == 29 else chr(rng.randint(0xE01, 0xE2E)) for i in range(n))
+    rows = []
+    for i in range(40):
+        text, around = (han if i % 2 else thai), lambda t: t(rng.randint(40, 200))
+        shared = text(200)
+        rows += [(2 * i + j, around(text) + shared + around(text)) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = chunks.repeated_spans(df).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in spans} == {(2 * i + 1, 2 * i) for i in range(40)}
+    texts = dict(rows)
+    assert all(texts[r["doc_id"]][r["span_start"] : r["span_end"]] in texts[r["first_doc_id"]] for r in spans)
