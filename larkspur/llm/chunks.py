@@ -72,6 +72,7 @@ def ends_of_chunks(raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
     lead = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, place, 0))
     unspaced = (since > NO_SPACE) | (raw[lead] >= 0xE3) & (raw[lead] <= 0xE9)  # U+3000 to U+9FFF
     cut |= unspaced & whole & ((h >> np.uint32(11)) & np.uint32(DENSE - 1) < place - lead + 1)
+    cut &= place - begin >= WINDOW  # before that the hash is also of the previous text
     # Where nothing has cut for long (as in a word said again and again), words do.
     last = np.maximum.accumulate(np.where(cut, place, begin))
     cut |= space & (place - np.append(0, last[:-1]) > NO_BORDER)
@@ -104,13 +105,15 @@ def cut_texts(texts: pa.Array) -> tuple[list[pa.Array], list[np.ndarray]]:
     inner = np.arange(len(raw)) - np.repeat(starts, size)
     power = np.cumprod(np.full(int(size.max()), shingles._STEP | np.uint64(1)))
     digest = shingles.mix(np.add.reduceat(_OF_BYTE[raw] * power[inner], starts) + size.astype(np.uint64))
+    at = np.searchsorted(ends, borders, side="right")
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     joined = np.zeros(len(digest), np.uint64)
-    for k in range(JOINED):
-        joined[: len(digest) - k] += digest[k:] * shingles._PLACE[k]
+    for k in range(JOINED):  # of the same text only: a text of one chunk has its own digest alone
+        n = max(0, len(digest) - k)
+        joined[:n] += np.where(text[:n] == text[k:], digest[k:] * shingles._PLACE[k], np.uint64(0))
     joined = shingles.mix(joined).view(np.int64)
     chars = np.append(0, np.cumsum(raw & 0xC0 != 0x80))
     sizes = chars[ends] - chars[starts]
-    at = np.searchsorted(ends, borders, side="right")
     digests = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         own = joined[a : max(min(a + 1, b), b - JOINED + 1)]

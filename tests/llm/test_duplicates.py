@@ -186,3 +186,28 @@ def test_passages_without_white_space_are_found(spark):
     assert {(r["doc_id"], r["first_doc_id"]) for r in spans} == {(2 * i + 1, 2 * i) for i in range(40)}
     texts = dict(rows)
     assert all(texts[r["doc_id"]][r["span_start"] : r["span_end"]] in texts[r["first_doc_id"]] for r in spans)
+
+
+def test_copies_of_texts_of_one_chunk(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("ABCDEFGHijklmnop0123456789+/") for _ in range(110))
+    single = []
+    while len(single) < 12:
+        t = word()
+        if len(chunks.cut_texts(pa.array([t], pa.string()))[1][0]) == 1:
+            single.append(t)
+    rows = [(i, t) for i, t in enumerate(single * 3 + [word() for _ in range(40)])]
+    for _ in range(3):
+        rng.shuffle(rows)
+        got = chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+        want = {(i, 0, 110, i % 12) for i in range(12, 36)}
+        assert {(r["doc_id"], r["span_start"], r["span_end"], r["first_doc_id"]) for r in got} == want
+
+
+def test_chunks_do_not_depend_on_the_texts_around():
+    rng = random.Random(15)
+    texts = ["", "a", "x" * 90, "abc " * 50] + ["".join(rng.choice("ab c字") for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    digests, sizes = chunks.cut_texts(pa.array(texts, pa.string()))
+    for t, d, n in zip(texts, digests, sizes, strict=True):
+        (alone,), (size,) = chunks.cut_texts(pa.array([t], pa.string()))
+        assert d.to_pylist() == alone.to_pylist() and n.tolist() == size.tolist()
