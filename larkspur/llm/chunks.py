@@ -15,8 +15,9 @@ place is a repeated span if it has min_chars or more. A passage's edges, as far
 as its first and behind its last border, are not counted: of passages that have
 few more than min_chars many are not found (the README has figures).
 
-Null and empty texts have no chunks. Rows that share a doc_id count as one
-document; null doc_ids count as the smallest one. An empty table gives no rows.
+Null and empty texts have no chunks. Equal rows count as one document, different
+texts of one doc_id as several (the one with the smallest hash is the first);
+null doc_ids count as the smallest one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def cut_texts(texts: pa.Array) -> tuple[list[pa.Array], list[np.ndarray]]:
 
 
 def chunk_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, digests, sizes of every document."""
+    """doc, hash (of the text), digests, sizes of every document."""
 
     def kernel():
         def run(texts):
@@ -140,16 +141,18 @@ def chunk_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
     ]
     smallest = F.lit(-(1 << 63)).cast("long")
-    named = df.select(F.coalesce(F.col(doc_id).cast("long"), smallest).alias("doc"), F.col(text).alias("text"))
-    return map_texts(named, kernel, fields, ["doc"])
+    named = df.select(
+        F.coalesce(F.col(doc_id).cast("long"), smallest).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")
+    )
+    return map_texts(named, kernel, fields, ["doc", "hash"])
 
 
 def repeated_spans(
     df: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """A row for each repeated span: doc_id, span_start, span_end (characters,
-    end exclusive), n_chunks, and first_doc_id, the document in which its
-    beginning stands first. The chunks are written to the shared folder and
+    end exclusive), n_chunks, first_doc_id, the document in which its beginning
+    stands first, and text_hash, which tells apart the texts of one doc_id. The chunks are written to the shared folder and
     deleted when the spans are there."""
     table, path = written(chunk_table(df, doc_id, text), "chunks")
     spans = cut_lineage(_spans(table, min_chars))
@@ -158,32 +161,48 @@ def repeated_spans(
 
 
 def _spans(table: DataFrame, min_chars: int) -> DataFrame:
-    rows = table.select("doc", F.posexplode("digests").alias("i", "digest"))
-    own = rows.where("digest is null").select("doc", "i", F.col("doc").alias("source"))
+    # Only where a doc_id has several texts does a row say, by `part`, of which it is.
+    several = table.groupBy("doc").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a != b")
+    several = cut_lineage(several.select(F.col("doc").alias("of")))
+    n, keys = several.count(), ["doc"]
+    if n:
+        keys = ["doc", "part"]
+        several = F.broadcast(several) if n <= FEW_SPANS else several
+        part = F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.col("hash"))
+        table = table.join(several, table["doc"] == F.col("of"), "left").withColumn("part", part)
+    rows = table.select(*keys, F.posexplode("digests").alias("i", "digest"))
+    own = rows.where("digest is null").select(*keys, "i", F.col("doc").alias("source"))
     rows = rows.where("digest is not null")
     first = rows.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
     first = first.where("source != last").select("digest", "source")
-    later = rows.join(first, "digest").where("doc != source").select("doc", "i", "source").union(own)
-    in_order = Window.partitionBy("doc").orderBy("i")
+    later = rows.join(first, "digest").where("doc != source").select(*keys, "i", "source").union(own)
+    if n:  # between the texts of one doc_id, if none smaller has the chunks
+        parted = rows.where("part != 0")
+        again = parted.groupBy("digest", "doc").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
+        inside = parted.join(again, ["digest", "doc"]).where("part != p").join(first, "digest", "left")
+        inside = inside.where("source is null or source = doc")
+        later = later.union(inside.select(*keys, "i", F.col("doc").alias("source")))
+    in_order = Window.partitionBy(*keys).orderBy("i")
     apart = F.col("i") - F.lag("i", 1, -JOINED - 2).over(in_order) > JOINED
     runs = later.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(in_order))
-    runs = runs.groupBy("doc", "run").agg(
+    runs = runs.groupBy(*keys, "run").agg(
         F.min("i").alias("a"), F.max("i").alias("b"), F.min_by("source", "i").alias("source")
     )
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "source")).alias("runs"))
-    sizes = table.select("doc", "sizes").dropDuplicates(["doc"])
+    runs = runs.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "source")).alias("runs"))
+    sizes = table.select(*keys, "hash", "sizes").dropDuplicates(keys)
     total = lambda n: F.aggregate(F.slice("sizes", F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + x)
     last = F.least(F.col("r.b") + JOINED, F.size("sizes"))
     null = -(1 << 63)
     return (
-        runs.join(sizes, "doc")
-        .select("doc", "sizes", F.explode("runs").alias("r"))
+        runs.join(sizes, keys)
+        .select("doc", "hash", "sizes", F.explode("runs").alias("r"))
         .select(
             F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"),
             total(F.col("r.a")).alias("span_start"),
             total(last).alias("span_end"),
             (last - F.col("r.a")).cast("long").alias("n_chunks"),
             F.when(F.col("r.source") != null, F.col("r.source")).alias("first_doc_id"),
+            F.col("hash").alias("text_hash"),
         )
         .where(F.col("span_end") - F.col("span_start") >= min_chars)
     )
@@ -192,7 +211,7 @@ def _spans(table: DataFrame, min_chars: int) -> DataFrame:
 def remove_spans(
     df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", few: int = FEW_SPANS
 ) -> DataFrame:
-    """df with each text freed of its spans (of one doc_id); other rows as they are."""
+    """df with each text freed of its spans (of its doc_id and hash); other rows as they are."""
 
     @F.udf(T.StringType(), useArrow=True)
     def without(value, cuts):
@@ -204,11 +223,12 @@ def remove_spans(
             at = max(at, end)
         return "".join(out) + value[at:]
 
-    lists = spans.groupBy(F.col("doc_id").alias("__doc")).agg(
+    lists = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(
         F.collect_list(F.array("span_start", "span_end")).alias("__cuts")
     )
     if spans.count() <= few:  # else texts and lists are shuffled to each other
         lists = F.broadcast(lists)
-    joined = df.join(lists, df[doc_id].eqNullSafe(F.col("__doc")), "left")
+    same = df[doc_id].eqNullSafe(F.col("__doc")) & (F.xxhash64(df[text]) == F.col("__hash"))
+    joined = df.join(lists, same, "left")
     new = F.when(F.col("__cuts").isNull(), df[text]).otherwise(without(df[text], F.col("__cuts")))
     return joined.select(*[new.alias(c) if c == text else df[c] for c in df.columns])

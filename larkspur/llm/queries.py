@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_spans(table(spark, sf_dir, "documents"))
+    return chunks.repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,22 @@ def test_chunks_do_not_depend_on_the_texts_around():
     for t, d, n in zip(texts, digests, sizes, strict=True):
         (alone,), (size,) = chunks.cut_texts(pa.array([t], pa.string()))
         assert d.to_pylist() == alone.to_pylist() and n.tolist() == size.tolist()
+
+
+@pytest.mark.parametrize("name", [None, 5])
+def test_texts_of_one_doc_id_are_apart(spark, name):
+    rng = random.Random(16)
+    text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    twice, shared, clean = text(60), text(60), text(300)
+    rows = [
+        (name, f"{twice} {text(9)} {twice} {text(9)}"), (name, clean), (name, clean),
+        (name, f"{text(30)} {shared} {text(30)}"), (name, f"{text(20)} {shared} {text(50)}"), (8, f"{text(20)} {shared}"), (9, text(90)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = chunks.repeated_spans(df).collect()
+    assert sorted((r["doc_id"] or 0, r["first_doc_id"]) for r in spans) == [(name or 0, name)] * 2 + [(8, name)]
+    for few in (-1, 10**6):
+        left = [r["text"] for r in chunks.remove_spans(df, chunks.repeated_spans(df), few=few).collect()]
+        assert len(left) == len(rows) and left.count(clean) == 2 and rows[-1][1] in left
+        words = " ".join(left).split()
+        assert all(words.count(w) == 1 for w in shared.split()[15:40] + twice.split()[15:40])
