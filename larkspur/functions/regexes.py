@@ -3,7 +3,8 @@
 A pattern is simple if no quantifier applies to a group that holds another
 quantifier or an alternation. Simple patterns run in the JVM. Others could
 overflow its stack or take exponential time on a hostile value, so they run in
-Arrow batches with a time limit; a value that reaches it does not match. A
+Arrow batches with a time limit that grows with the value's length, so that only
+super-linear backtracking reaches it; a value that does, does not match. A
 pattern that does not compile disables its predicate and is counted.
 """
 
@@ -17,8 +18,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Seconds that a risky pattern may take on one value.
-TIME_LIMIT = 0.05
+#: Seconds that a risky pattern may take on one value, and more for each of its characters
+#: (linear matching takes some 0.1 microseconds a character).
+TIME_LIMIT, CHAR_LIMIT = 0.05, 20e-6
 _REPEATS = (parser.MAX_REPEAT, parser.MIN_REPEAT, parser.POSSESSIVE_REPEAT)
 
 
@@ -92,13 +94,13 @@ def compiled(pattern: str, cased: bool):
         return None
 
 
-def search(pattern: str, cased: bool, text: str, limit: float = TIME_LIMIT) -> bool:
+def search(pattern: str, cased: bool, text: str, limit: float = TIME_LIMIT, per_char: float = CHAR_LIMIT) -> bool:
     """Unanchored search; no match if the pattern is bad or time runs out."""
     p = compiled(pattern, cased)
     if p is None:
         return False
     try:
-        return p.search(text, timeout=limit) is not None
+        return p.search(text, timeout=limit + per_char * len(text)) is not None
     except TimeoutError:
         return False
 

@@ -69,6 +69,12 @@ def test_hostile_patterns_end(spark):
     assert values(spark, lambda v: regexes.matches(v, "[", True), ["["]) == [False]
 
 
+def test_matches_late_in_long_texts_are_found():
+    text = "harmless words of a very long text " * 150_000
+    assert regexes.search(r"([a-z]+[0-9])+@", False, text + "ab1@")
+    assert not regexes.search(r"([a-z]+[0-9])+@", False, text)
+
+
 TIMES = [
     ("2024-01-02T03:04:05Z", 1704164645.0), ("2024-01-02 03:04:05.25+02:00", 1704157445.25), ("2024-01-02", 1704153600.0),
     ("2024-01-02T03:04", 1704164640.0), ("2024-02-31", 1709337600.0 - 86400 + 0), ("1700000000", 1700000000.0),
