@@ -17,6 +17,7 @@ equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import chain
@@ -141,6 +142,12 @@ def in_held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _share(count: int, docs: int) -> int:
+    """Of a million hash values, so many that `docs` of count rows almost surely have one:
+    rounded up, so that no language is without a sample however many rows it has."""
+    return math.ceil(min(1.0, 1.5 * (docs + 30) / count) * 1_000_000)
+
+
 def sample(df: DataFrame, label: str, doc_id: str, text: str, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """Texts of up to `docs` rows of each language that aren't held out."""
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
@@ -153,8 +160,7 @@ def sample(df: DataFrame, label: str, doc_id: str, text: str, docs: int = SAMPLE
     # A share of each language that holds `docs` rows almost surely, then the first of them.
     share = F.lit(0)
     for row in sizes:
-        wanted = min(1.0, 1.5 * (docs + 30) / row["count"])
-        share = F.when(F.col("lang") == row["lang"], int(wanted * 1_000_000)).otherwise(share)
+        share = F.when(F.col("lang") == row["lang"], _share(row["count"], docs)).otherwise(share)
     mixed = F.xxhash64("id", F.lit("language sample"))
     few = known.withColumn("h", mixed).where(F.pmod("h", F.lit(1_000_000)) < share)
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "id")

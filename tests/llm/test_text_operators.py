@@ -253,3 +253,10 @@ def test_sample_is_bounded(spark, fraction):
     df = spark.range(4000).selectExpr("id as doc_id", "'x' as text", f"if(id % 10 < {fraction}, 'a', 'b') as lang")
     got = langid.sample(df, "lang", "doc_id", "text", docs=20)
     assert {k: len(v) for k, v in got.items()} == {"a": 20, "b": 20}
+
+
+def test_each_language_has_a_share_of_the_sample():
+    for count in (1, 300, 10**6, 260_000_000, 495_000_001, 10**12):
+        share = langid._share(count, langid.SAMPLE_DOCS)
+        assert 1 <= share <= 1_000_000
+        assert share / 1_000_000 * count >= min(count, 1.5 * langid.SAMPLE_DOCS)
