@@ -18,7 +18,9 @@ inverted lists. The search for such partners goes from coarse to exact:
    to be in the same component already isn't probed.
 4. The links found join nodes to components.
 
-No links are lost: each step keeps every pair that reaches the threshold.
+No component is lost: each step keeps every pair that reaches the threshold, up
+to those that are in one component already. So links within a component are not
+enumerated, and how many links a document has is not known.
 Nodes are 64-bit hashes of whole sets.
 
 A null or empty text, or one without words, has an empty set and links with
