@@ -7,13 +7,15 @@ counts. A window that becomes full is given out at once.
 
 Every task packs the rows it reads, in one pass and without a shuffle, so the
 work is as even as the input's splits, and a lost task is made again with the
-same result. A task keeps at most ``max_open`` windows: beyond that a document
-is cut to complete the fullest one. At its end the emptiest windows' pieces
+same result. A task keeps at most ``max_open`` windows open, which bounds its
+memory (4,096 windows of 2,048 identifiers are 34 MB): beyond that a document is
+cut to complete the fullest one, which adds a cut and no padding. At its end the emptiest windows' pieces
 are cut to complete the fullest ones, and the one window that is left is cut
 into sequences whose lengths are powers of two, which take no padding.
 
 Null text counts as empty: such a document is its end identifier alone.
-Repeated rows are packed each by itself. An empty table gives no pieces.
+Repeated rows are packed each by itself. Identifiers of documents may be of any
+type; null ones stay null. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from .common import bounded_batches, give_back_memory, slices, text_or_empty
 #: Windows that a task keeps open; bounds its memory.
 MAX_OPEN = 4096
 
-Piece = tuple[int, int, np.ndarray, int]  # document, start, identifiers, the document's tokens
+Piece = tuple[object, int, np.ndarray, int]  # document, start, identifiers, the document's tokens
 
 
 class Packer:
@@ -48,7 +50,7 @@ class Packer:
         self.open: dict[int, list[list[Piece]]] = {}
         self.n_open = 0
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
+    def add(self, doc, ids: np.ndarray) -> None:
         n, w = len(ids), self.window
         whole = n - n % w
         for at in range(0, whole, w):
@@ -147,15 +149,19 @@ def _fast_encoder(path: str):
 
 
 #: The library's time is quadratic in a word's length; longer ones go to the own encoder.
-LONG_TEXT, LONG_RUN = 5_000, re.compile(r"\S{1000}|\s{1000}")
+LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 
 
 def token_arrays(path: str, end_id: int):
-    fast, own = _fast_encoder(path), bpe.encoder(path) if _fast_encoder(path) is None else None
+    """A function from a text to its identifiers and the end identifier.
+
+    Both encoders give what the tokenizers library gives; the own one takes the
+    texts on which the fast one is slow or has other Unicode tables."""
+    fast, v = _fast_encoder(path), vocab.load(path)
 
     def encode(text: str) -> np.ndarray:
-        if fast is None or len(text) > LONG_TEXT and LONG_RUN.search(text):
-            ids = (own or bpe.encoder(path)).encode(text)
+        if fast is None or v.has_new_characters(text) or LONG_RUN.search(text):
+            ids = bpe.encoder(path).encode(text)
         else:
             ids = fast.encode(text, allowed_special="all")
         return np.array([*ids, end_id], dtype="<u4")
@@ -163,7 +169,7 @@ def token_arrays(path: str, end_id: int):
     return encode
 
 
-COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def pack(
@@ -181,7 +187,9 @@ def pack(
     sequence_id is the task's number times 2^33 plus a running number.
     """
     bounded_batches(df.sparkSession)
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in COLUMNS])
+    schema = T.StructType([T.StructField("doc_id", df.select(doc_id).schema[0].dataType)])
+    for name in COLUMNS:
+        schema.add(name, T.LongType())
     if with_ids:
         schema.add("ids", T.ArrayType(T.IntegerType()))
 
@@ -218,6 +226,6 @@ def pack(
         yield flush()
         give_back_memory()
 
-    return df.select(F.col(doc_id).cast("long").alias("__doc"), text_or_empty(text).alias("__text")).mapInArrow(
+    return df.select(F.col(doc_id).alias("__doc"), text_or_empty(text).alias("__text")).mapInArrow(
         run, schema
     )

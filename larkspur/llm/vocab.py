@@ -91,9 +91,9 @@ class Vocabulary:
         return out
 
     def _plain_words(self, text: str) -> list[str]:
-        if not self.suffix:
-            return self._words(text)
-        return self._old_words(text) or self._words(self.normalise(text))
+        if self.has_new_characters(text):
+            return self._library_words(text)
+        return self._words(self.normalise(text) if self.suffix else text)
 
     def spell(self, word: str) -> str:
         """The symbols of a word."""
@@ -158,23 +158,27 @@ class Vocabulary:
     def _latin_order(self) -> list[str]:
         return [self._latin[b] for b in range(256)]
 
-    def _old_words(self, text: str) -> list[str] | None:
-        """Words as the tokenizers library splits them, if text has characters
-        that this Python's Unicode tables don't know yet: there the tables of
-        the two regular-expression engines differ. Otherwise None."""
-        if (chars := set(text) - self._known) and not text.isascii():
-            if not any(unicodedata.category(c) == "Cn" for c in chars):
-                self._known |= chars
-                return None
-            if self._library is None:
-                from tokenizers import Tokenizer
-
-                self._library = Tokenizer.from_file(self._path)
-            back = {chr(c): b for b, c in self._bytes.items()}
-            lib = self._library
-            split = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
-            return [bytes(back[c] for c in w).decode() for w, _ in split]
-        return None
+    def has_new_characters(self, text: str) -> bool:
+        """Whether text has characters that this Python's Unicode tables don't know
+        yet: there the tables of different regular-expression engines differ."""
+        if text.isascii():
+            return False
+        if chars := set(text) - self._known:
+            if any(unicodedata.category(c) == "Cn" for c in chars):
+                return True
+            self._known |= chars
+        return False
+
+    def _library_words(self, text: str) -> list[str]:
+        """Words as the tokenizers library splits them."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        back = {chr(c): b for b, c in self._bytes.items()}
+        lib = self._library
+        plain = lib.normalizer.normalize_str(text) if lib.normalizer else text
+        return [bytes(back[c] for c in w).decode() for w, _ in lib.pre_tokenizer.pre_tokenize_str(plain)]
 
 
 @functools.lru_cache(maxsize=4)

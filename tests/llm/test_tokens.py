@@ -39,6 +39,24 @@ def test_random_words_agree():
             assert own.encode(t) == ids and n.count(t) == len(ids), t
 
 
+def test_new_code_points_and_long_runs_agree():
+    """Characters that Unicode tables of different ages call differently, in short
+    texts and in texts that go to the other encoder for a long run."""
+    import unicodedata
+
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    new = [i for i in points if unicodedata.category(chr(i)) == "Cn" and i < 0x33480]
+    some = new[::7] + [i for i in points if unicodedata.category(chr(i)) != "Cn"][::211] + [0x1E6C0]
+    texts = [f"a{chr(i)}b{chr(i)}'s" for i in some]
+    texts += ["\U0001e6c0's " * 3 + "x" * 1500 + " and " * 900, "é's " * 3 + "x" * 1500 + " and " * 900, " " * 1200 + "end", "y" * 999 + " z"]
+    for path in (WORD, BYTE):
+        lib, count = Tokenizer.from_file(path), counts.counter(path).count
+        encode = packing.token_arrays(path, 1) if path == BYTE else None
+        for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert count(t) == len(e.ids), t[:20]
+            assert encode is None or encode(t).tolist() == [*e.ids, 1], t[:20]
+
+
 def test_cache_is_bounded():
     cache = vocab.WordCache(len, 10)
     for i in range(100):
