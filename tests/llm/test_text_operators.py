@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -239,7 +241,6 @@ def test_languages_of_held_out_rows(spark, weird, nothing):
 def test_word_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(langid, "CACHED_NUMBERS", 40)
     pieces = langid.Pieces(PIECES)
-    from collections import Counter
 
     probs = langid.fit(pieces, [Counter(s.split()) for s in SENTENCES.values()], rounds=1)
     scorer = langid.Scorer(pieces, list(SENTENCES), probs)
@@ -260,3 +261,42 @@ def test_each_language_has_a_share_of_the_sample():
         share = langid._share(count, langid.SAMPLE_DOCS)
         assert 1 <= share <= 1_000_000
         assert share / 1_000_000 * count >= min(count, 1.5 * langid.SAMPLE_DOCS)
+
+
+def test_letters_are_those_of_unicode_category_l(spark):
+    import unicodedata
+
+    every = "".join(c + " " for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff")
+    found = set("".join(langid.LETTERS.findall(every)))
+    assert found == {c for c in every if unicodedata.category(c)[0] == "L"}
+    rows = [(i, s * 4, lang) for i, (lang, s) in enumerate(SENTENCES.items())] * 20
+    rows += [(900, "½ ² Ⅳ ①", "en"), (901, "12 _ ·", "en"), (902, "½ été", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df, PIECES, ["doc_id"]).collect()}
+    assert (got[900]["lang_pred"], got[900]["score"]) == (got[901]["lang_pred"], got[901]["score"]) == ("und", 0.0)
+    assert got[902]["lang_pred"] != "und"
+
+
+def test_words_of_any_length_are_scored_whole():
+    rng = random.Random(5)
+    pieces = langid.Pieces(PIECES)
+    probs = langid.fit(pieces, [Counter(s.split()) for s in SENTENCES.values()], rounds=1)
+    table = langid.scaled(pieces, probs)
+    for n in (1, 2, 31, 32, 33, 50, 51, 97, 300):
+        for letters in ("abcdefgh", "the", "北京x", "𐎠𐎡"):
+            w = "".join(rng.choice(letters) for _ in range(n))
+            whole = langid.Lattice(pieces, [w]).scores(table)[0] if n < 60 or letters[0] < "z" else None
+            alone = langid.long_scores(pieces, w, table)
+            assert np.isfinite(alone).all()
+            assert whole is None or np.allclose(whole, alone, rtol=1e-9)
+    scorer = langid.Scorer(pieces, list(SENTENCES), probs)
+    short, long = "der hund und die katze", "donaudampfschifffahrtsgesellschaftskapitaensmuetzenabzeichen" * 900
+    pred, score = scorer.predict([short, long, long + " " + short, "𐎠" * 700])
+    assert set(pred) <= set(SENTENCES) and all(0 < s <= 1 for s in score)
+
+
+def test_sample_is_bounded_by_characters(spark):
+    rows = [(i, "w" * 1000, "en") for i in range(100)] + [(200, "x" * 50_000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df, "lang", "doc_id", "text", docs=50, chars=5_000)
+    assert len(got["en"]) == 6 and len(got.get("de", [1])) == 1
