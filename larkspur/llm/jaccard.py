@@ -11,11 +11,12 @@ inverted lists. The search for such partners goes from coarse to exact:
    are its short lists; a partner is on one of them. Sets whose short lists
    hold nobody else are done, which are nearly all but the near copies.
 3. What short lists connect, directly or not, is one block. A block's texts
-   meet in one task (large blocks in pieces, each pair of pieces in a task of
-   its own), and there DivideSkip finds the partners: the shortest lists of a
-   set are merged and their occurrences counted, the long ones are probed by
-   binary search for the candidates that are left. A candidate that is known
-   to be in the same component already isn't probed.
+   meet in one task, and there DivideSkip finds the partners (of large blocks
+   the pieces have a task each, to which a few leaders also go; then only what is
+   outside the largest component found so far meets the other pieces): the shortest lists of a
+   set are merged by a heap of their heads, which skips what can't be on enough
+   of them, and the long ones are probed by binary search for the candidates
+   that are left. Members of the set's own component are left out of the lists.
 4. The links found join nodes to components.
 
 No component is lost: each step keeps every pair that reaches the threshold, up
@@ -26,24 +27,30 @@ Nodes are 64-bit hashes of whole sets.
 A null or empty text, or one without words, has an empty set and links with
 nothing. Repeated rows and equal texts share a component. A null doc_id is
 passed through; such a row's component is the smallest doc_id linked to it.
-An empty table gives no rows.
+Identifiers of any type that has an order will do. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import cut_lineage, give_back_memory, map_texts, text_or_empty
+from .common import cut_lineage, give_back_memory, map_texts, text_or_empty, written
 from .components import connected_components
 
 #: Shingles of a piece of a large block, and of the small blocks that share a task.
-TASK_SHINGLES, SHARED_SHINGLES = 300_000, 100_000
+TASK_SHINGLES, SHARED_SHINGLES = 200_000, 100_000
+#: What a merged posting costs beside a probed one, as in DivideSkip.
+MU = 0.0085
 
 
 def occurrences(n: int, percent: int) -> int:
@@ -64,7 +71,7 @@ def _signed(s: np.ndarray) -> np.ndarray:
 
 
 def document_sets(df: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node, prefix of every document."""
+    """doc_id, text_hash, n_shingles, node, prefix of every document."""
 
     def kernel():
         def run(texts):
@@ -82,8 +89,8 @@ def document_sets(df: DataFrame, k: int, percent: int, doc_id: str, text: str) -
         T.StructField("node", T.LongType()),
         T.StructField("prefix", T.ArrayType(T.LongType())),
     ]
-    named = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(named, kernel, fields, ["doc_id"])
+    named = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_texts(named, kernel, fields, ["doc_id", "text_hash"])
 
 
 class Links:
@@ -105,68 +112,143 @@ class Links:
         del self.members[b]
 
 
-def search(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Labels of the components of sets, by T-occurrence search with DivideSkip."""
-    m = len(sets)
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    links = Links(m)
-    if m < 2 or not sizes.sum():
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """What stands on `least` or more of the ascending lists, and on how many: by a
+    heap of the lists' heads. Lists whose head can't be on enough of them are wound
+    forward by binary search."""
+    n = len(lists)
+    if n < least:
+        return []
+    # A head and its list's number in one integer, which compares fast.
+    heap = [x[0] * n + i for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    at, end, out = [0] * n, [len(x) for x in lists], []
+    pop, replace = heapq.heappop, heapq.heapreplace
+    while len(heap) >= least:
+        top = heap[0] // n
+        after, popped = (top + 1) * n, []
+        while heap and heap[0] < after and len(popped) < least:
+            popped.append(pop(heap) % n)
+        if len(popped) == least:
+            count = least
+            while heap and heap[0] < after:  # the others of this one go on at once
+                i = heap[0] % n
+                count += 1
+                at[i] += 1
+                if at[i] < end[i]:
+                    replace(heap, lists[i][at[i]] * n + i)
+                else:
+                    pop(heap)
+            out.append((top, count))
+            to = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(pop(heap) % n)
+            if not heap:
+                break
+            to = heap[0] // n
+        for i in popped:
+            k = at[i] + 1
+            if k < end[i] and lists[i][k] < to:
+                k = bisect_left(lists[i], to, k)
+            elif lists[i][at[i]] >= to:
+                k = at[i]
+            at[i] = k
+            if k < end[i]:
+                heapq.heappush(heap, lists[i][k] * n + i)
+    return out
+
+
+class Inverted:
+    """The inverted lists of a task's sets: for each shingle, from the rarest to the
+    most frequent, the sets that hold it. Sets are numbered by size."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = np.argsort([len(s) for s in sets], kind="stable")
+        self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
+        self.m = m = len(sets)
+        ends = np.cumsum(self.sizes)
+        _, token, often = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        token = rank[token]
+        self.rows = [np.sort(token[e - n : e]) for e, n in zip(ends, self.sizes, strict=True)]
+        #: shingle * m + set, ascending: all lists one after another, searched as one.
+        self.postings = np.sort(token * m + np.repeat(np.arange(m), self.sizes))
+        self.length = np.sort(often, kind="stable")
+        self.begin = np.cumsum(self.length) - self.length
+
+    def before(self, token: int, x: int) -> np.ndarray:
+        """The sets numbered below x on a shingle's list."""
+        a, n = int(self.begin[token]), int(self.length[token])
+        part = self.postings[a : a + n]
+        return part[: np.searchsorted(part, token * self.m + x)] - token * self.m
+
+    def probe(self, tokens: np.ndarray, y: int) -> int:
+        """On how many of the shingles' lists y stands, by binary search in each."""
+        wanted = tokens * self.m + y
+        at = np.searchsorted(self.postings, wanted)
+        return int((self.postings[np.minimum(at, len(self.postings) - 1)] == wanted).sum())
+
+
+def search(sets: list[np.ndarray], percent: int, known: list | None = None) -> np.ndarray:
+    """Labels of the components of sets, by T-occurrence search with DivideSkip. Sets
+    of equal `known` are in one component from the start.
+
+    Of a set's lists the longest, T / (MU log M + 1) of them (M: the longest one's
+    length), are probed and the others merged."""
+    links = Links(len(sets))
+    if len(sets) < 2 or not sum(map(len, sets)):
         return links.label
-    ends = np.cumsum(sizes)
-    flat = np.concatenate([sets[i] for i in order])
-    _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
-    del flat
-    rank = np.empty(len(often), np.int32)
-    rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
-    token = rank[token]  # 0 is the shingle with the shortest list
-    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
-    lists, length = owner[np.argsort(token, kind="stable")], np.sort(often, kind="stable")
-    del owner, rank
-    begin = np.cumsum(length) - length
-    rows = [np.sort(token[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
-    for x in range(m):
+    index = Inverted(sets)
+    sizes, rows = index.sizes, index.rows
+    if known is not None:
+        place: dict[object, int] = {}
+        for x, i in enumerate(index.order):
+            links.join(place.setdefault(known[i], x), x)
+
+    def linked(x: int, y: int, shared: int) -> bool:
+        return 100 * shared >= percent * (int(sizes[x]) + int(sizes[y]) - shared)
+
+    for x in range(index.m):
         n = int(sizes[x])
         if not n:
             continue
-        t = occurrences(n, percent)
-        least = max(1, t // 8)  # of the short lists
-        short, long = rows[x][: n - t + least], rows[x][n - t + least :]
-        short = short[length[short] > 1]
-        if not len(short):
+        row = rows[x]
+        fewest = int(sizes[np.searchsorted(sizes, occurrences(n, percent))])  # of a partner's shingles
+        t = -(-percent * (n + fewest) // (100 + percent))
+        if int((index.length[row] > 1).sum()) < t:
             continue
-        merged = np.concatenate([lists[begin[s] : begin[s] + length[s]] for s in short])
-        merged = merged[merged < x]
-        if not len(merged):
+        probed = min(t - 1, int(t / (MU * math.log(int(index.length[row[-1]]) + 1) + 1)))
+        least = t - probed
+        short, long = row[: n - probed], row[n - probed :]
+        lists = [index.before(int(s), x) for s in short if index.length[s] > 1]
+        lists = [v[links.label[v] != links.label[x]] for v in lists]
+        lists = [v for v in lists if len(v)]
+        if len(lists) < least:
             continue
-        if len(merged) * 4 < m:
-            found, count = np.unique(merged, return_counts=True)
-        else:
-            count = np.bincount(merged, minlength=x)
-            found = np.flatnonzero(count)
-            count = count[found]
-        keep = (count >= least) & (sizes[found] >= t) & (links.label[found] != links.label[x])
-        found, count = found[keep], count[keep]
-        turn = np.argsort(-count, kind="stable")
-        found, count = found[turn], count[turn]
-        while len(found):
-            y, shared = int(found[0]), int(count[0])
-            other = rows[y]
-            if len(long):
-                place = np.searchsorted(other, long)
-                shared += int((other[np.minimum(place, len(other) - 1)] == long).sum())
-            found, count = found[1:], count[1:]
-            if 100 * shared >= percent * (n + len(other) - shared):
+        # Who stands last on most lists is tried first: the others of its component
+        # needn't be merged then.
+        last, count = np.unique([v[-1] for v in lists], return_counts=True)
+        y = int(last[count.argmax()])
+        if sizes[y] >= fewest and linked(x, y, index.probe(row, y)):
+            links.join(x, y)
+            lists = [v[links.label[v] != links.label[x]] for v in lists]
+        found = merge_skip([v.tolist() for v in lists if len(v)], least)
+        for y, count in sorted(found, key=lambda f: -f[1]):
+            m = int(sizes[y])
+            needed = -(-percent * (n + m) // (100 + percent))
+            if m < fewest or count + len(long) < needed or links.label[y] == links.label[x]:
+                continue
+            if linked(x, y, count + index.probe(long, y)):
                 links.join(x, y)
-                keep = links.label[found] != links.label[x]
-                found, count = found[keep], count[keep]
-    label = np.empty(m, np.int64)
-    label[order] = order[links.label]
+    label = np.empty(index.m, np.int64)
+    label[index.order] = index.order[links.label]
     return label
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """node, token: the short lists that somebody else may be on."""
+    """node, n, token, often: the short lists that somebody else may be on."""
     rows = reps.select("node", "n", F.explode("prefix").alias("token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = rows.join(common, "token").groupBy("node").agg(
@@ -179,51 +261,80 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     free = wanted - (kept - F.size("shared"))
     return shared.where(free > 0).select(
         "node", "n", F.explode(F.slice("shared", F.lit(1), free.cast("int"))).alias("s")
-    ).select("node", "n", F.col("s.token").alias("token"))
+    ).select("node", "n", F.col("s.token").alias("token"), F.col("s.often").alias("often"))
 
 
 def _blocks(candidates: DataFrame) -> DataFrame:
-    """node, n, block of what short lists connect."""
+    """node, n, block, score of what short lists connect; the score is how many others
+    a node shares its short lists with."""
     lists = candidates.groupBy("token").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     edges = candidates.join(lists.drop("c"), "token").where("node != first").select("node", "first", "n").distinct()
     edges = cut_lineage(edges)
     label = connected_components(edges, "node", "first")
-    sizes = candidates.groupBy("node").agg(F.first("n").alias("n"))
-    return label.join(sizes, "node").select("node", "n", F.col("component").alias("block"))
+    sizes = candidates.groupBy("node").agg(F.first("n").alias("n"), F.avg("often").alias("score"))
+    return label.join(sizes, "node").select("node", "n", F.col("component").alias("block"), "score")
+
+
+def _pieces(blocks: DataFrame, task_shingles: int) -> DataFrame:
+    """blocks with parts, piece (of that many, by the node's hash) and leaders: a few
+    nodes of a large block, first of all that which shares most with the others."""
+    weight = blocks.groupBy("block").agg(
+        F.ceil(F.sum("n") / task_shingles).alias("parts"),
+        F.array_distinct(F.array(F.max_by("node", F.struct("score", "node")), F.min("node"), F.max("node"))).alias("leaders"),
+    )
+    return blocks.join(weight, "block").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
-def _tasks(blocks: DataFrame, task_shingles: int) -> DataFrame:
-    """node, task: where each node's text goes; pieces of large blocks go to several."""
-    weight = blocks.groupBy("block").agg(F.sum("n").alias("weight"))
-    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _first_tasks(pieces: DataFrame, task_shingles: int) -> DataFrame:
+    """node, task, known: small blocks share tasks; a large block's pieces have one
+    each, and its leaders go to all of them."""
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, -(-total // min(task_shingles, SHARED_SHINGLES)))
-    parts = F.ceil(F.col("weight") / task_shingles)
-    piece = F.pmod(F.xxhash64("node"), parts)
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), parts - 1),
-        lambda i: F.xxhash64("block", F.least(i, piece), F.greatest(i, piece)),
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.xxhash64("block", i))
+    where = (
+        F.when(F.col("parts") <= 1, F.array(F.pmod(F.xxhash64("block"), F.lit(groups))))
+        .when(F.array_contains("leaders", F.col("node")), every)
+        .otherwise(F.array(F.xxhash64("block", "piece")))
     )
-    where = F.when(F.col("parts") <= 1, F.array(F.pmod(F.xxhash64("block"), F.lit(groups)))).otherwise(pairs)
-    return blocks.join(weight, "block").withColumn("parts", parts).select("node", F.explode(where).alias("task"))
+    return pieces.select("node", F.explode(where).alias("task"), F.col("node").alias("known"))
+
+
+def _second_tasks(pieces: DataFrame, components: DataFrame, task_shingles: int) -> DataFrame:
+    """node, task, known: what the first tasks have left of large blocks. The nodes
+    outside a block's largest component so far, in chunks, meet each of its pieces;
+    pairs within that component are known already."""
+    large = pieces.where("parts > 1").join(components, "node", "left")
+    large = cut_lineage(large.select("node", "n", "block", "parts", "piece", F.coalesce("component", "node").alias("known")))
+    main = large.groupBy("block", "known").agg(F.count(F.lit(1)).alias("nodes"))
+    main = main.groupBy("block").agg(F.max_by("known", F.struct("nodes", "known")).alias("main"))
+    large = large.join(main, "block").withColumn("out", F.col("known") != F.col("main"))
+    left = large.where("out").groupBy("block").agg(F.ceil(F.sum("n") / task_shingles).alias("chunks"))
+    rows = large.join(left, "block")
+    chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks"))
+    here = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("block", "piece", c))
+    there = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.xxhash64("block", i, chunk))
+    where = F.when(F.col("out"), F.array_union(here, there)).otherwise(here)
+    return rows.select("node", F.explode(where).alias("task"), "known")
 
 
 def links(df: DataFrame, nodes: DataFrame, tasks: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """node, other: links that span the components of each task's texts."""
-    texts = df.select(F.col(doc_id).alias("doc"), text_or_empty(text).alias("text"))
-    wanted = tasks.join(nodes, "node").select("task", "node", "doc")
-    rows = texts.join(wanted, texts["doc"].eqNullSafe(wanted["doc"])).select("task", "node", "text")
+    """node, other: links that span the components of each task's texts; what is known
+    to be in one component already (equal `known`) isn't compared."""
+    texts = df.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), text_or_empty(text).alias("text"))
+    wanted = tasks.join(nodes, "node").select("task", "node", "known", "first.*")
+    same = texts["doc"].eqNullSafe(wanted["doc_id"]) & (texts["hash"] == wanted["text_hash"])
+    rows = texts.join(wanted, same).select("task", "node", "known", "text")
 
     def find(rows: pa.Table) -> pa.Table:
         sets = shingles.shingle_sets(rows.column("text").combine_chunks(), k)
-        # A doc_id may stand in several rows: only the text that made the node counts.
-        mine: dict[int, np.ndarray] = {}
-        for node, s in zip(rows.column("node").to_pylist(), sets, strict=True):
-            if len(s) and node_of(s) == node:
-                mine.setdefault(node, s)
+        nodes, known = rows.column("node").to_pylist(), rows.column("known").to_pylist()
+        mine = dict(zip(nodes, zip(sets, known, strict=True), strict=True))  # a row may be repeated
         del sets
         ids = np.array(sorted(mine), np.int64)
-        other = ids[search([mine[int(i)] for i in ids], percent)] if len(ids) else ids
+        sets, known = [mine[int(i)][0] for i in ids], [mine[int(i)][1] for i in ids]
         mine.clear()
+        other = ids[search(sets, percent, known)] if len(ids) else ids
+        del sets
         give_back_memory()
         linked = ids != other
         return pa.table({"node": ids[linked], "other": other[linked]})
@@ -231,6 +342,27 @@ def links(df: DataFrame, nodes: DataFrame, tasks: DataFrame, k: int, percent: in
     return rows.groupBy("task").applyInArrow(find, "node long, other long")
 
 
+def _linked(
+    df: DataFrame, k: int, percent: int, doc_id: str, text: str, task_shingles: int
+) -> tuple[DataFrame, DataFrame]:
+    """document_sets, and node, first (doc_id and text_hash of its first row), component."""
+    sets = cut_lineage(document_sets(df, k, percent, doc_id, text))
+    named = sets.where("node is not null")
+    reps = named.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    blocks = cut_lineage(_blocks(cut_lineage(_candidates(reps, percent))))
+    # Null identifiers come last.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = named.groupBy("node").agg(F.min(order).alias("first"))
+    pieces = cut_lineage(_pieces(blocks, task_shingles))
+    found = cut_lineage(links(df, nodes, _first_tasks(pieces, task_shingles), k, percent, doc_id, text))
+    if not pieces.where("parts > 1").isEmpty():
+        second = cut_lineage(_second_tasks(pieces, connected_components(found, "node", "other"), task_shingles))
+        if not second.isEmpty():
+            found = found.union(links(df, nodes, second, k, percent, doc_id, text))
+    joined = connected_components(found, "node", "other")
+    return sets, nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+
+
 def link_components(
     df: DataFrame,
     k: int = 5,
@@ -240,21 +372,49 @@ def link_components(
     task_shingles: int = TASK_SHINGLES,
 ) -> DataFrame:
     """doc_id, n_shingles (size of the set), component_id (smallest doc_id reachable by links)."""
-    sets = cut_lineage(document_sets(df, k, percent, doc_id, text))
-    reps = sets.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")
-    )
-    blocks = cut_lineage(_blocks(cut_lineage(_candidates(reps, percent))))
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    found = links(df, nodes, _tasks(blocks, task_shingles), k, percent, doc_id, text)
-    joined = connected_components(found, "node", "other")
-    label = nodes.join(joined, "node", "left").select(
-        "node", "doc", F.coalesce("component", "node").alias("component")
-    )
-    smallest = label.groupBy("component").agg(F.min("doc").alias("component_id"))
+    sets, label = _linked(df, k, percent, doc_id, text, task_shingles)
+    smallest = label.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     members = label.join(smallest, "component").select("node", "component_id")
     return sets.join(members, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(
+    df: DataFrame,
+    k: int = 5,
+    percent: int = 80,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    task_shingles: int = TASK_SHINGLES,
+) -> DataFrame:
+    """df without near copies: of the rows that links connect one stays, that with the
+    smallest doc_id (null ones come last) and, of equal ones, the smallest text hash.
+    Rows are told apart by doc_id and text, never by doc_id alone. Rows with an empty
+    set stay, all of them; columns of any name pass through.
+
+    Only rows that go, or that are repeated, are joined to the texts: if these are
+    few, as their written table's size tells, no text is shuffled."""
+    sets, label = _linked(df, k, percent, doc_id, text, task_shingles)
+    kept = label.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    rows = sets.where("node is not null").groupBy("doc_id", "text_hash").agg((F.count(F.lit(1)) > 1).alias("again"))
+    stays = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
+    judged = rows.join(kept, stays, "left").select(
+        rows["doc_id"], rows["text_hash"], "again", kept["text_hash"].isNull().alias("gone")
+    )
+    judged, _ = written(judged.where("gone or again"), "near-copies")
+    row = F.struct("*").alias("__row")
+    texts = df.select(row, F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"))
+
+    def same(found: DataFrame) -> Column:
+        return texts["__id"].eqNullSafe(found["doc_id"]) & (texts["__hash"] == found["text_hash"])
+
+    once = texts.join(judged, same(judged), "left_anti").select("__row")
+    repeated = judged.where("not gone")
+    if not repeated.isEmpty():
+        several = texts.join(repeated, same(repeated), "left_semi")
+        several = several.groupBy("__id", "__hash").agg(F.first("__row").alias("__row")).select("__row")
+        once = once.union(several)
+    return once.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spliced
+
 #: Characters between the starts of parts that belong together, at most.
 SCOPE = 200
 
@@ -136,30 +138,15 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def mask(df: DataFrame, mark: str = "<SECRET>", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with every span of its texts replaced by mark, overlapping spans by one."""
-    same = [F.col(doc_id).alias("__doc"), F.xxhash64(text).alias("__hash")]
-    found = spans(df, same, text).where(F.size("spans") > 0).dropDuplicates(["__doc", "__hash"])
-    # Of each span what lies beyond all earlier ones, in one pass over their ends.
-    reach = F.aggregate(
-        "spans",
-        F.array(F.lit(0).cast("long")),
-        lambda ends, s: F.concat(ends, F.array(F.greatest(F.element_at(ends, -1), s["end"]))),
-    )
-    found = found.withColumn("__reach", reach)
-    joined = df.join(
-        found, df[doc_id].eqNullSafe(F.col("__doc")) & (F.xxhash64(df[text]) == F.col("__hash")), "left"
-    )
-    body = df[text]
-
-    def before(s: Column, i: Column) -> Column:
-        at = F.get("__reach", i)
-        gap = F.substring(body, (at + 1).cast("int"), F.greatest(F.lit(0), s["start"] - at).cast("int"))
-        return F.concat(gap, F.when((s["start"] >= at) , F.lit(mark)).otherwise(F.lit("")))
-
-    tail = F.substring(body, (F.element_at("__reach", -1) + 1).cast("int"), F.length(body))
-    new = F.concat(F.array_join(F.transform("spans", before), ""), tail)
-    new = F.when(F.col("spans").isNull(), body).otherwise(new)
-    return joined.select(*[new.alias(c) if c == text else df[c] for c in df.columns])
+    """df with every span of its texts replaced by mark, overlapping spans by one. Rows
+    are told apart by doc_id and text; columns of any name pass through."""
+    own = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    found = spans(own, [F.col("__id").alias("__doc"), F.xxhash64("__text").alias("__hash")], "__text")
+    found = found.where(F.size("spans") > 0).dropDuplicates(["__doc", "__hash"]).withColumnRenamed("spans", "__spans")
+    rows = df.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.xxhash64("__text") == F.col("__hash"))
+    rows = rows.join(found, same, "left").withColumn("__text", spliced(F.col("__text"), F.col("__spans"), F.lit(mark)))
+    return rows.select(*[F.col("__text").alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
 def _sql() -> str:

@@ -2,9 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import chunks, components, jaccard, shingles
 
@@ -84,6 +86,62 @@ def test_one_large_group(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_leaders_spare_the_pairs_of_pieces(spark):
+    """A block of near copies of one text is done after the first tasks."""
+    rng = random.Random(10)
+    base = [f"v{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        t[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard.document_sets(df, 4, 85, "doc_id", "text")
+    reps = sets.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    pieces = jaccard._pieces(jaccard._blocks(jaccard._candidates(reps, 85)), 6_000).cache()
+    assert pieces.select(F.max("parts")).first()[0] >= 9
+    nodes = sets.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = jaccard._first_tasks(pieces, 6_000)
+    assert first.count() <= 400 + 3 * 11
+    found = jaccard.links(df, nodes, first, 4, 85, "doc_id", "text")
+    done = components.connected_components(found, "node", "other")
+    assert done.select("component").distinct().count() == 1
+    assert jaccard._second_tasks(pieces, done, 6_000).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_against_all_pairs(seed):
+    rows = corpus(seed, 120)
+    sets = [s for s in shingles.shingle_sets(pa.array([t for _, t in rows], pa.string()), 2) if len(s)]
+    rng = random.Random(seed)
+    known = [rng.choice([0, 1, *range(10, 10 + len(sets))]) for _ in sets]
+    for percent, given in ((85, None), (60, None), (70, known)):
+        parent = list(range(len(sets)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a in range(len(sets)):
+            for b in range(a):
+                shared = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+                if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared) or given and given[a] == given[b]:
+                    parent[root(a)] = root(b)
+        label = jaccard.search(sets, percent, given).tolist()
+        pairs = {(label[i], root(i)) for i in range(len(sets))}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_merge_skip():
+    rng = random.Random(3)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(30), rng.randint(1, 20))) for _ in range(rng.randint(1, 9))]
+        often = Counter(x for one in lists for x in one)
+        for least in (1, 2, 3, 5):
+            assert sorted(jaccard.merge_skip(lists, least)) == sorted((k, v) for k, v in often.items() if v >= least)
+
+
 def test_shingles(weird):
     texts = [r["text"] or "" for r in weird.collect()]
     for k in (1, 4, 5):
@@ -151,6 +209,50 @@ def test_repeated_passages_are_found_and_clean_texts_are_not(spark):
     assert all(len(left[i]) < len(texts[i]) for i in later)
 
 
+def brute_spans(rows, min_chars):
+    """Spans from the chunks' texts themselves, document by document."""
+    chunked = {}
+    for doc, text in rows:
+        (sizes,) = chunks.cut_texts(pa.array([text or ""], pa.string()))[2]
+        ends = [0, *sizes.cumsum().tolist()]
+        n = max(min(1, len(sizes)), len(sizes) - chunks.JOINED + 1)
+        parts = [(text or "")[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        chunked[doc] = [(tuple(parts[i : i + chunks.JOINED]), i) for i in range(n)], ends
+    first, out = {}, []
+    for doc in sorted(chunked):
+        for joined, _ in chunked[doc][0]:
+            first.setdefault(joined, doc)
+    for doc, (joined, ends) in chunked.items():
+        seen, run = set(), []
+        for t, i in [*joined, (None, 1 << 40)]:
+            source = doc if t in seen else first.get(t)
+            again = t is not None and (source != doc or t in seen)
+            seen.add(t)
+            if run and (t is None or again) and i - run[-1][0] > chunks.JOINED:
+                end = min(run[-1][0] + chunks.JOINED, len(ends) - 1)
+                if ends[end] - ends[run[0][0]] >= min_chars:
+                    out.append((doc, ends[run[0][0]], ends[end], end - run[0][0], run[0][1]))
+                run = []
+            if again:
+                run.append((i, source))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [1_000, 4])
+def test_spans_are_those_of_brute_force(spark, monkeypatch, hot):
+    """All repeats, by comparing the texts of chunks; with a low bound, chunks of many
+    documents take the other way."""
+    monkeypatch.setattr(chunks, "HOT", hot)
+    monkeypatch.setattr(chunks, "SAMPLED", 2)
+    rng = random.Random(21)
+    rows = [*passages(7)[0], *((1000 + i, t) for i, t in corpus(5, 150)), (2000, None), (2001, ""), (2002, "again and " * 90)]
+    line = " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    rows += [(3000 + i, f"{line} {rng.randrange(10**9)} " * rng.randint(1, 2) + line) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r)[:5] for r in chunks.repeated_spans(df, 40).collect())
+    assert got == brute_spans(rows, 40) and len(got) > 100
+
+
 def test_borders_resist_insertions():
     rng = random.Random(8)
     t = " ".join(str(rng.randrange(10**6)) for _ in range(400))
@@ -160,7 +262,7 @@ def test_borders_resist_insertions():
 
 def test_chunks_cover_texts(weird):
     texts = [r["text"] or "" for r in weird.collect()] + ["字" * 5_000, "a" * 9_000]
-    _, sizes = chunks.cut_texts(pa.array(texts, pa.string()))
+    _, _, sizes = chunks.cut_texts(pa.array(texts, pa.string()))
     assert [int(s.sum()) for s in sizes] == [len(t) for t in texts]
     assert max(int(s.max()) for s in sizes if len(s)) <= chunks.LONGEST + 4
 
@@ -194,7 +296,7 @@ def test_copies_of_texts_of_one_chunk(spark):
     single = []
     while len(single) < 12:
         t = word()
-        if len(chunks.cut_texts(pa.array([t], pa.string()))[1][0]) == 1:
+        if len(chunks.cut_texts(pa.array([t], pa.string()))[2][0]) == 1:
             single.append(t)
     rows = [(i, t) for i, t in enumerate(single * 3 + [word() for _ in range(40)])]
     for _ in range(3):
@@ -207,10 +309,9 @@ def test_copies_of_texts_of_one_chunk(spark):
 def test_chunks_do_not_depend_on_the_texts_around():
     rng = random.Random(15)
     texts = ["", "a", "x" * 90, "abc " * 50] + ["".join(rng.choice("ab c字") for _ in range(rng.randint(0, 300))) for _ in range(200)]
-    digests, sizes = chunks.cut_texts(pa.array(texts, pa.string()))
-    for t, d, n in zip(texts, digests, sizes, strict=True):
-        (alone,), (size,) = chunks.cut_texts(pa.array([t], pa.string()))
-        assert d.to_pylist() == alone.to_pylist() and n.tolist() == size.tolist()
+    for t, d, low, n in zip(texts, *chunks.cut_texts(pa.array(texts, pa.string())), strict=True):
+        (alone,), (other,), (size,) = chunks.cut_texts(pa.array([t], pa.string()))
+        assert d.to_pylist() == alone.to_pylist() and low.tolist() == other.tolist() and n.tolist() == size.tolist()
 
 
 @pytest.mark.parametrize("name", [None, 5])
