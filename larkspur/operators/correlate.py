@@ -2,17 +2,21 @@
 
 Input rows are events: `ord` (arrival order), `ts` (epoch seconds, double),
 `rids` (rules that matched, in verification order) and whatever fields the
-correlations read. Two ways to the same fires:
-
-* windows: frames over time, in the JVM. Rows of a group are dealt to slices of
-  one time span each, a row also to the slice after its own, so that a task
-  holds two time spans of a group and not its whole history. Right if a group's
-  times don't fall in arrival order and no per-group limit is reached.
-* fold: the step function of `streaming.kernel` over rows sorted by group and
-  arrival, streamed through each partition, one group's state at a time. Right
-  for any order.
-
-Suppression after a fire is a fold over the few rows that hold the condition.
+correlations read. All correlations share one pass over the events and one exchange
+of what they watch. The step function of `streaming.kernel` is applied to sorted
+rows that stream through each partition, one state at a time; a state is bounded by
+the caps, whatever the group's size. Two ways to the same fires:
+
+* windows: rows of a group are dealt to slices of one time span each, a row also to
+  the slice after its own, where it only fills the state. So a task holds two time
+  spans of a group and not its whole history. Right if a group's times don't fall
+  in arrival order. Suppression after a fire is a fold over the few rows that hold
+  the condition.
+* fold: a group's rows in arrival order. Right for any order, and for the types
+  whose state goes back farther than a time span.
+
+`auto` takes slices for the types that have them; slices tell on the way whether a
+group is out of order, and such groups alone are folded again.
 """
 
 from __future__ import annotations
@@ -20,247 +24,273 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ownership
 from ..functions.text import to_f64
-from ..plans.compile import reduce_tokens
-from ..plans.model import BEACON_PRESENCE, MAX_SEEN_RULES, WEIGHTS, Correlation, admitted, problem
+from ..plans.model import MAX_SEEN_RULES, WEIGHTS, Correlation, admitted, problem
 from ..sources.events import Resolver
-from ..streaming.kernel import Caps, Group
+from ..streaming.kernel import Caps, Engine, Group
 
+#: Counters of the step function.
+COUNTED = (
+    "distinct_evicted", "events_overwritten", "fires_suppressed", "seen_truncated", "hits_truncated", "watermark_late",
+    "hotkey_fallback",
+)
 WINDOWED = ("event_count", "value_count", "value_sum", "value_avg", "value_percentile", "value_median", "temporal", "beaconing")
 
 
+def _watching(c: Correlation, field: Resolver, apply: Column | None) -> tuple[Column, Column, Column]:
+    """Whether the correlation looks at an event; its group (array<string>) and value."""
+    base = F.lit([int(r) for r in dict.fromkeys(c.base_rule_ids)]).cast("array<long>")
+    rids = F.col("rids").cast("array<long>")
+    test = F.arrays_overlap(rids, base)
+    test = test if apply is None else test & apply
+    grp = F.array(*[field(f) for f in c.group_by]) if c.group_by else F.array().cast("array<string>")
+    if c.alias_group_by:
+        first = F.get(F.filter(rids, lambda r: F.array_contains(base, r)), F.lit(0))
+        for r in reversed(dict.fromkeys(c.base_rule_ids)):
+            grp = F.when(first == r, F.array(*[field(f) for f in c.group_fields(r)])).otherwise(grp)
+    return test, grp, field(c.field) if c.uses_field else F.lit(None).cast("string")
+
+
 def watched(
     df: DataFrame, c: Correlation, field: Resolver, apply: Column | None = None, complete: bool = True
 ) -> DataFrame:
     """ord, ts, rids, grp (array<string>) and value of the events that the
     correlation looks at: a base rule matched, no group field is absent (unless
     complete is false) and apply, a test on the event, holds."""
-    base = F.lit([int(r) for r in dict.fromkeys(c.base_rule_ids)]).cast("array<long>")
+    test, grp, value = _watching(c, field, apply)
     rids = F.col("rids").cast("array<long>")
-    rows = df.where(F.arrays_overlap(rids, base))
-    rows = rows if apply is None else rows.where(apply)
-    plain = F.array(*[field(f) for f in c.group_by]) if c.group_by else F.array().cast("array<string>")
-    grp = plain
-    if c.alias_group_by:
-        first = F.get(F.filter(rids, lambda r: F.array_contains(base, r)), F.lit(0))
-        for r in reversed(dict.fromkeys(c.base_rule_ids)):
-            grp = F.when(first == r, F.array(*[field(f) for f in c.group_fields(r)])).otherwise(grp)
-    value = field(c.field) if c.uses_field else F.lit(None).cast("string")
-    rows = rows.select("ord", F.col("ts").cast("double").alias("ts"), rids.alias("rids"), grp.alias("grp"), value.alias("value"))
-    if not complete:
-        return rows
-    return rows.where(_complete())
+    rows = df.where(test).select("ord", F.col("ts").cast("double").alias("ts"), rids.alias("rids"), grp.alias("grp"), value.alias("value"))
+    return rows.where(_complete()) if complete else rows
+
+
+def watched_by_any(
+    df: DataFrame, rules: list[Correlation], field: Resolver, apply: dict[str, Column] | None = None, complete: bool = True
+) -> DataFrame:
+    """c (the position of a correlation), ord, ts, rids, grp and value: a row for each
+    event and correlation that looks at it, in one pass over the events."""
+    names = sorted({f for c in rules for r in c.base_rule_ids for f in c.group_fields(r)} | {c.field for c in rules if c.uses_field})
+    ready = {f: f"__field_{i}" for i, f in enumerate(names)}
+    wide = df.select("*", *[field(f).alias(n) for f, n in ready.items()])
+    cells = []
+    for i, c in enumerate(rules):
+        test, grp, value = _watching(c, lambda f: F.col(ready[f]), (apply or {}).get(c.id))
+        cells.append(F.when(test, F.struct(F.lit(i).alias("c"), grp.alias("grp"), value.alias("value"))))
+    rids = F.col("rids").cast("array<long>").alias("rids")
+    rows = wide.select("ord", F.col("ts").cast("double").alias("ts"), rids, F.explode(F.array_compact(F.array(*cells))).alias("w"))
+    rows = rows.select("w.c", "ord", "ts", "rids", "w.grp", "w.value")
+    return rows.where(_complete()) if complete else rows
 
 
 def _complete() -> Column:
     return ~F.exists("grp", lambda v: v.isNull())
 
 
-def is_time_ordered(rows: DataFrame) -> bool:
-    """Whether no group has an event that is earlier than one that arrived before it."""
-    w = Window.partitionBy("grp").orderBy("ord")
-    return rows.select((F.lag("ts").over(w) > F.col("ts")).alias("back")).where("back").isEmpty()
-
-
-def _sliced(rows: DataFrame, span: float) -> DataFrame:
-    """Rows in the slice of their time and, as guests, in the one after it."""
-    own = F.floor(F.col("ts") / span)
-    at = F.explode(F.array(F.struct(own.alias("n"), F.lit(False).alias("guest")), F.struct((own + 1).alias("n"), F.lit(True).alias("guest"))))
-    return rows.withColumn("__slice", at)
-
-
-def _threshold(op: str, a: Column, b: Column) -> Column:
-    return {"gt": a > b, "lte": a <= b, "lt": a < b, "eq": a == b}.get(op, a >= b)
-
-
-def _as_long(x: Column) -> Column:
-    """Truncated towards zero, within 64 bits."""
-    return F.when(x.between(-9.2e18, 9.2e18), x.cast("long"))
-
-
-def candidates(rows: DataFrame, c: Correlation, max_events: int = Caps.max_events) -> DataFrame:
-    """ord, ts, grp, observed of the rows on which the condition holds, by windows."""
-    if c.type not in WINDOWED:
-        raise ValueError(f"{c.type} has no window form")
-    span = float(c.timespan_s)
-    if c.type == "value_count":
-        rows = rows.where(F.col("value").isNotNull())
-    if c.type == "beaconing" and c.n_buckets:
-        rows = rows.where(F.col("ts") >= 0)
-    sliced = _sliced(rows, span)
-    part = Window.partitionBy("grp", "__slice.n")
-    frame = part.orderBy("ts").rangeBetween(-c.timespan_s, 0)
-    arrival = part.orderBy("ts", "ord")
-    made = sliced.withColumn("__rn", F.row_number().over(arrival))
-    n = F.lit(c.count)
-    if c.type == "event_count":
-        count = F.col("__rn") - F.min("__rn").over(frame) + 1
-        made = made.withColumn("observed", F.least(count, F.lit(max_events)).cast("long"))
-        holds = _threshold(c.op, F.col("observed"), n)
-    elif c.type == "temporal":
-        made, holds = _temporal(made, c, arrival, span)
-        made = made.withColumn("observed", F.lit(len(c.base_rule_ids)).cast("long"))
-    elif c.type == "value_count":
-        made = _window(made, frame, F.struct("__rn", "value"))
-        made = made.withColumn("observed", F.size(F.array_distinct(F.transform("__win", lambda x: x["value"]))).cast("long"))
-        holds = _threshold(c.op, F.col("observed"), n)
-    elif c.type == "beaconing":
-        made, holds = _beacon(made, c, frame, span, max_events)
-    else:
-        made = made.withColumn("__num", to_f64(F.col("value")))
-        made = _window(made, frame, F.when(F.col("__num").isNotNull(), F.struct("__rn", "__num")))
-        ordered = F.transform(F.sort_array("__win"), lambda x: x["__num"])
-        recent = F.slice(ordered, F.greatest(F.lit(1), F.size(ordered) - (max_events - 1)), max_events)
-        made = made.withColumn("__vals", recent)
-        total = F.aggregate("__vals", F.lit(0.0), lambda s, x: s + x)
-        size = F.size("__vals")
-        if c.type == "value_sum":
-            agg = total
-        elif c.type == "value_avg":
-            agg = F.when(size > 0, F.try_divide(total, size.cast("double")))
-        else:
-            rank = F.greatest(F.lit(1), F.floor((F.lit(c.rank) * size + 99) / 100)).cast("int")
-            agg = F.get(F.sort_array("__vals"), rank - 1)
-        made = made.withColumn("__agg", agg).withColumn("observed", _as_long(F.col("__agg")))
-        holds = F.col("__agg").isNotNull() & _threshold(c.op, F.col("__agg"), F.lit(float(c.count)))
-    own = made.where(~F.col("__slice.guest"))
-    return own.where(F.coalesce(holds, F.lit(False))).select("ord", "ts", "grp", "observed")
-
-
-def _window(made: DataFrame, frame, item: Column) -> DataFrame:
-    """__win: what stands in each row's window and has arrived (later peers of the
-    same time haven't)."""
-    made = made.withColumn("__all", F.collect_list(item).over(frame))
-    return made.withColumn("__win", F.filter("__all", lambda x: x["__rn"] <= F.col("__rn"))).drop("__all")
-
-
-def _temporal(made: DataFrame, c: Correlation, arrival, span: float):
-    so_far = arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = []
-    for i, r in enumerate(c.base_rule_ids[:MAX_SEEN_RULES]):
-        hit = F.when(F.array_contains("rids", F.lit(r).cast("long")), F.col("ts"))
-        made = made.withColumn(f"__seen{i}", F.max(hit).over(so_far) >= F.col("ts") - span)
-        names.append(f"__seen{i}")
-    bits = [F.coalesce(F.col(x), F.lit(False)) for x in names]
-    holds = reduce_tokens(c.condition, bits, F.lit(False)) if c.condition else reduce(and_, bits)
-    return made, holds
-
-
-def _regular(gaps: Column, permille: int) -> Column:
-    n = F.size(gaps).cast("double")
-
-    def within(mean: Column) -> Column:
-        spread = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g - mean) * (g - mean))
-        bound = F.lit(permille / 1000.0) * mean
-        return (mean > 0) & (F.try_divide(spread, n) <= bound * bound)
-
-    mean = F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), n)
-    return F.get(F.transform(F.array(mean), within), F.lit(0))  # the mean is computed once
-
-
-def _gaps(xs: Column) -> Column:
-    later = F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
-    return F.transform(later, lambda x, i: (x - F.get(xs, i)).cast("double"))
-
-
-def _beacon(made: DataFrame, c: Correlation, frame, span: float, max_events: int):
-    enough = max(3, c.count)
-    if not c.n_buckets:
-        made = _window(made, frame, F.struct("__rn", "ts"))
-        times = F.transform(F.sort_array("__win"), lambda x: x["ts"])
-        times = F.slice(times, F.greatest(F.lit(1), F.size(times) - (max_events - 1)), max_events)
-        made = made.withColumn("__times", times).withColumn("__gaps", _gaps(F.col("__times")))
-        made = made.withColumn("observed", F.size("__times").cast("long"))
-        return made, (F.size("__times") >= enough) & _regular(F.col("__gaps"), c.cv_permille)
-    width = span / c.n_buckets
-    # The histogram's window is whole epochs; those of the last n_buckets - 1 and this one.
-    made = made.withColumn("__epoch", F.floor(F.col("ts") / width))
-    made = _window(made, frame, F.struct("__rn", "__epoch"))
-    epochs = F.sort_array(F.array_distinct(F.transform("__win", lambda x: x["__epoch"])))
-    first = F.col("__epoch") - (c.n_buckets - 1)
-    made = made.withColumn("__active", F.filter(epochs, lambda e: e >= first))
-    made = made.withColumn("__gaps", _gaps(F.col("__active"))).withColumn("observed", F.lit(0).cast("long"))
-    active = F.col("__active")
-    present = F.size(active) * 1000 >= BEACON_PRESENCE * (F.element_at(active, -1) - F.element_at(active, 1) + 1)
-    return made, (F.size(active) >= enough) & present & _regular(F.col("__gaps"), c.cv_permille)
-
-
-_FIRED = "ord {ord}, ts double, grp array<string>, observed long, remote boolean"
-
-
-def _by_group(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows of a group together and in order; groups stream through their partition."""
-    key = F.xxhash64("grp")
-    return rows.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key", "grp", *order).drop("__key")
-
-
-def suppress(found: DataFrame, c: Correlation) -> DataFrame:
-    """The fires among rows that hold the condition: after one at t, none before t + span."""
-    span = float(c.timespan_s)
-    schema = T.StructType([*found.schema.fields, T.StructField("remote", T.BooleanType())])
+def _sliceable(c: Correlation) -> bool:
+    """Whether two time spans before an event are all that its answer rests on."""
+    return c.type in WINDOWED and len(c.base_rule_ids) <= MAX_SEEN_RULES
+
+
+def _together(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of equal keys together and in order; they stream through their partition."""
+    rows = rows.withColumn("__key", F.xxhash64(*keys)).repartition("__key")
+    return rows.sortWithinPartitions("__key", *keys, *order).drop("__key")
+
+
+def _span(rules: list[Correlation]) -> Column:
+    return F.element_at(F.lit([float(c.timespan_s) for c in rules]), F.col("c") + 1)
+
+
+def _rows_of(batch: pa.RecordBatch, *names: str):
+    return zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _place(ord_value):
+    """Something that compares as the column does."""
+    return tuple(ord_value.values()) if isinstance(ord_value, dict) else ord_value
+
+
+def sliced(rows: DataFrame, rules: list[Correlation], caps: Caps) -> DataFrame:
+    """c, grp, slice, ord, ts, observed of the rows on which a condition holds, and for
+    each slice a row without ts: ord is its first row's, last its last one's, and
+    observed is 1 if its rows, or those of the slice before, are out of order."""
+    order = rows.schema["ord"].dataType
+    schema = T.StructType.fromDDL("c int, grp array<string>, slice long")
+    schema = schema.add("ord", order).add("last", order).add("ts", T.DoubleType()).add("observed", T.LongType())
+    own = F.floor(F.col("ts") / _span(rules))
+    two = F.array(F.struct(own.alias("n"), F.lit(False).alias("guest")), F.struct((own + 1).alias("n"), F.lit(True).alias("guest")))
+    dealt = rows.withColumn("__at", F.explode(two)).select("*", F.col("__at.n").alias("slice"), F.col("__at.guest").alias("guest")).drop("__at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, until = None, 0.0
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, stats = to_arrow_schema(schema), Counter()
+        key, state, first, last, latest, wrong = None, Group(), None, None, None, 0
+        for batch in batches:
+            made = []
+            for c, grp, n, guest, ord_value, ts, rids, value in _rows_of(batch, "c", "grp", "slice", "guest", "ord", "ts", "rids", "value"):
+                if (c, grp, n) != key:
+                    if first is not None:
+                        made.append((*key, first, last, None, wrong))
+                    key, state, first, last, latest, wrong = (c, grp, n), Group(), None, None, None, 0
+                place = _place(ord_value)
+                if latest is not None and place < latest:
+                    wrong = 1
+                else:
+                    latest = place
+                observed = state.step(rules[c], ts, rids, value, caps, stats)
+                if not guest:
+                    first = ord_value if first is None or place < _place(first) else first
+                    last = ord_value if last is None or place > _place(last) else last
+                    if observed is not None:
+                        made.append((c, grp, n, ord_value, None, ts, observed))
+            yield _batch(made, out)
+        if first is not None:
+            yield _batch([(*key, first, last, None, wrong)], out)
+
+    return _together(dealt, ["c", "grp", "slice"], "ts", "ord").mapInArrow(run, schema)
+
+
+def out_of_order(found: DataFrame) -> DataFrame:
+    """c and grp of what `sliced` has found to have a row that is earlier than one that
+    arrived before it: within neighbouring slices, or a slice's first row arrived
+    before the last one of an earlier slice. A row for each slice is looked at."""
+    before = Window.partitionBy("c", "grp").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = found.where("ts is null").withColumn("before", F.max("last").over(before))
+    return ends.where((F.col("observed") == 1) | (F.col("before") > F.col("ord"))).select("c", "grp").distinct()
+
+
+def suppress(found: DataFrame, rules: list[Correlation]) -> DataFrame:
+    """The fires among rows that hold a condition: after one at t, none before t + span."""
+    spans = [float(c.timespan_s) for c in rules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, until = None, 0.0
         for batch in batches:
             keep = []
-            for g, ts in zip(batch.column("grp").to_pylist(), batch.column("ts").to_pylist(), strict=True):
-                if g != group:
-                    group, until = g, 0.0
-                fires = ts >= until
-                if fires:
-                    until = ts + span
-                keep.append(fires)
-            part = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array([False] * part.num_rows, pa.bool_())], names=[f.name for f in schema]
-            )
+            for c, grp, ts in _rows_of(batch, "c", "grp", "ts"):
+                if (c, grp) != key:
+                    key, until = (c, grp), 0.0
+                keep.append(ts >= until)
+                if keep[-1]:
+                    until = ts + spans[c]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return _by_group(found, "ts", "ord").mapInArrow(run, schema)
+    found = found.select("c", "ord", "ts", "grp", "observed")
+    fired = _together(found, ["c", "grp"], "ts", "ord").mapInArrow(run, found.schema)
+    return fired.withColumn("remote", F.lit(False))
 
 
-def fold(rows: DataFrame, c: Correlation, caps: Caps = Caps()) -> DataFrame:
-    """Fires by the step function, in arrival order."""
-    order_type = rows.schema["ord"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("ord", order_type),
-            T.StructField("ts", T.DoubleType()),
-            T.StructField("grp", T.ArrayType(T.StringType())),
-            T.StructField("observed", T.LongType()),
-            T.StructField("remote", T.BooleanType()),
-        ]
-    )
+def _fired(order: T.DataType) -> T.StructType:
+    schema = T.StructType().add("c", T.IntegerType()).add("ord", order)
+    return T.StructType([*schema, *T.StructType.fromDDL("ts double, grp array<string>, observed long, remote boolean")])
+
+
+def fold(rows: DataFrame, rules: list[Correlation], caps: Caps = Caps()) -> DataFrame:
+    """c, ord, ts, grp, observed, remote of the fires, by the step function in arrival
+    order. Rows with a kind are contributions."""
+    schema = _fired(rows.schema["ord"].dataType)
     with_kind = "kind" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, stats = to_arrow_schema(schema), Counter()
-        group, state = None, Group()
+        key, state = None, Group()
         for batch in batches:
-            fires = []
+            made = []
             for row in batch.to_pylist():
-                if row["grp"] != group:
-                    group, state = row["grp"], Group()
+                if (row["c"], row["grp"]) != key:
+                    key, state = (row["c"], row["grp"]), Group()
+                c = rules[row["c"]]
                 if with_kind and row["kind"] is not None:
                     observed = state.contribution(c, row, caps, stats)
                 else:
                     observed = state.event(c, row["ts"], row["rids"], row["value"], caps, stats)
                 if observed is not None:
-                    fires.append((row["ord"], row["ts"], row["grp"], observed, state.remote))
-            cols = list(zip(*fires, strict=True)) or [()] * len(out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, f.type) for v, f in zip(cols, out, strict=True)], schema=out
-            )
+                    made.append((row["c"], row["ord"], row["ts"], row["grp"], observed, state.remote))
+            yield _batch(made, out)
+
+    return _together(rows, ["c", "grp"], "ord").mapInArrow(run, schema)
+
+
+def counters(rows: DataFrame, rules: list[Correlation], caps: Caps = Caps()) -> DataFrame:
+    """c, name, n: what the fold counts on its way (losses to caps, suppressed fires,
+    values that are no numbers and so on)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, all_stats = None, Group(), {}
+        for batch in batches:
+            for c, grp, ts, rids, value in _rows_of(batch, "c", "grp", "ts", "rids", "value"):
+                if (c, grp) != key:
+                    key, state = (c, grp), Group()
+                state.event(rules[c], ts, rids, value, caps, all_stats.setdefault(c, Counter()))
+        found = [(c, name, n) for c, stats in all_stats.items() for name, n in stats.items()]
+        yield _batch(found, pa.schema([("c", pa.int32()), ("name", pa.string()), ("n", pa.int64())]))
+
+    found = _together(rows, ["c", "grp"], "ord").mapInArrow(run, "c int, name string, n long")
+    return found.groupBy("c", "name").agg(F.sum("n").alias("n"))
 
-    return _by_group(rows, "ord").mapInArrow(run, schema)
+
+def instances(
+    df: DataFrame, rules: list[Correlation], field: Resolver, caps: Caps = Caps(), of: int = 1, live: bool = False
+) -> DataFrame:
+    """Fires of `of` separate instances, each with its own limit on groups and its own
+    periodic sweep; a group belongs to the instance that `functions.ownership` names. These bounds
+    go over all groups of an instance, so its events are one sequence in one task: more
+    instances are how this grows. live: the groups that are left instead (c, id, groups)."""
+    good, _ = admitted(rules)
+    rows = watched_by_any(df, good, field)
+    ids = F.element_at(F.lit([c.id for c in good]), F.col("c") + 1)
+    own = F.lit(0).cast("long")
+    for n in sorted({len(c.group_by) for c in good}):
+        own = F.when(F.size("grp") == n, ownership.owner_index(of, ids, *[F.get("grp", F.lit(i)) for i in range(n)])).otherwise(own)
+    rows = rows.withColumn("instance", own.cast("long"))
+    # Every event that matched a rule may start a sweep, in each instance.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("rids", "array<long>"), ("grp", "array<string>"), ("value", "string"))]
+    ticks = df.where(F.size("rids") > 0).select(F.lit(-1).alias("c"), "ord", F.col("ts").cast("double").alias("ts"), *nothing, every.alias("instance"))
+    rows = rows.unionByName(ticks)
+    schema = T.StructType.fromDDL("c int, id string, groups long") if live else _fired(rows.schema["ord"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, current, engine = to_arrow_schema(schema), None, Engine(good, caps)
+        left: Counter = Counter()
+        for batch in batches:
+            made = []
+            for at, c, ord_value, ts, rids, grp, value in _rows_of(batch, "instance", "c", "ord", "ts", "rids", "grp", "value"):
+                if at != current:
+                    left.update({i: engine.n_groups(i) for i in range(len(good))})
+                    current, engine = at, Engine(good, caps)
+                if c < 0:
+                    engine.sweep(ts)
+                    continue
+                observed, remote = engine.one(c, tuple(grp), ts, rids, value)
+                if observed is not None and not live:
+                    made.append((c, ord_value, ts, grp, observed, remote))
+            if not live:
+                yield _batch(made, out)
+        if live:
+            left.update({i: engine.n_groups(i) for i in range(len(good))})
+            yield _batch([(i, good[i].id, n) for i, n in left.items()], out)
+
+    found = _together(rows, ["instance"], "ord", "c").mapInArrow(run, schema)
+    if live:
+        return found.groupBy("c", "id").agg(F.sum("groups").alias("groups"))
+    return _described(found, good)
 
 
 def fires(found: DataFrame, c: Correlation) -> DataFrame:
@@ -286,6 +316,26 @@ def fires(found: DataFrame, c: Correlation) -> DataFrame:
     )
 
 
+def _described(found: DataFrame, rules: list[Correlation]) -> DataFrame:
+    """The full record of each fire of several correlations; a row for each of these is
+    broadcast."""
+    kinds = "c int, corr_id string, title string, type string, technique string, level string, tier string, weight double, group_by array<string>, threshold long, value_field string, base_rule_ids array<long>"
+    table = found.sparkSession.createDataFrame(
+        [
+            (
+                i, c.id, c.title, c.type, c.mitre, c.level or "medium", c.tier, WEIGHTS[c.tier], list(c.group_by), c.count,
+                c.field if c.uses_field else None, list(c.base_rule_ids),
+            )
+            for i, c in enumerate(rules)
+        ],
+        kinds,
+    )
+    return found.join(F.broadcast(table), "c").select(
+        "corr_id", "title", "type", "technique", "level", "tier", "weight", "group_by", F.col("grp").alias("group"),
+        "observed", "threshold", "value_field", "base_rule_ids", "remote", "ts", "ord",
+    )
+
+
 def correlate(
     df: DataFrame,
     rules: list[Correlation],
@@ -296,37 +346,61 @@ def correlate(
 ) -> DataFrame:
     """Fires of all admitted correlations.
 
-    how: "windows", "fold", or "auto": windows where the type has them and times
-    are in arrival order (one more pass over the group keys and times finds out).
+    how: "windows", "fold", or "auto": slices for the types that have them, and the fold
+    for other types and for groups that turn out to be out of order.
     apply: by correlation, which events it is applied to here.
     """
     good, _ = admitted(rules)
-    parts = []
-    for c in good:
-        rows = watched(df, c, field, (apply or {}).get(c.id))
-        windows = how == "windows" or how == "auto" and c.type in WINDOWED and is_time_ordered(rows)
-        found = suppress(candidates(rows, c, caps.max_events), c) if windows else fold(rows, c, caps)
-        parts.append(fires(found, c))
-    if not parts:
+    if not good:
         raise ValueError("no valid correlation: " + ", ".join(str(problem(c)) for c in rules))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def stats(df: DataFrame, rules: list[Correlation], field: Resolver) -> DataFrame:
-    """By correlation: events it watches, those skipped for an absent group field,
-    groups, and values that are no numbers."""
-    good, _ = admitted(rules)
-    parts = []
-    for c in good:
-        rows = watched(df, c, field, complete=False)
-        no_number = _complete() & to_f64(F.col("value")).isNull()
-        counts_numbers = c.uses_field and c.type != "value_count"
-        parts.append(
-            rows.agg(
-                F.count(F.lit(1)).alias("watched"),
-                F.count_if(~_complete()).alias("event_skipped_missing_field"),
-                F.count_distinct(F.when(_complete(), F.col("grp"))).alias("groups"),
-                (F.count_if(no_number) if counts_numbers else F.lit(0).cast("long")).alias("values_nonnumeric"),
-            ).select(F.lit(c.id).alias("corr_id"), "*")
-        )
-    return reduce(DataFrame.unionByName, parts)
+    by_slice = [i for i, c in enumerate(good) if how != "fold" and _sliceable(c)]
+    if how == "windows" and len(by_slice) < len(good):
+        raise ValueError("no window form: " + ", ".join(c.type for c in good if not _sliceable(c)))
+    rows, parts = watched_by_any(df, good, field, apply), []
+    if len(by_slice) < len(good):
+        parts.append(fold(rows.where(~F.col("c").isin(by_slice)), good, caps))
+    if by_slice:
+        mine = rows.where(F.col("c").isin(by_slice))
+        found = sliced(mine, good, caps)
+        if how == "auto":
+            found = _kept(found)
+            wrong = _kept(out_of_order(found))
+            if not wrong.isEmpty():
+                parts.append(fold(mine.join(wrong, ["c", "grp"], "left_semi"), good, caps))
+                found = found.join(wrong, ["c", "grp"], "left_anti")
+        parts.append(suppress(found.where("ts is not null"), good))
+    return _described(reduce(DataFrame.unionByName, parts), good)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder where one is set, else in the executors'
+    memory and disks (and computed again for a lost one)."""
+    set_up = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if set_up else df.persist()
+
+
+def stats(df: DataFrame, rules: list[Correlation], field: Resolver, caps: Caps = Caps()) -> DataFrame:
+    """By correlation: events it watches, groups, and the counters of an instance. What
+    depends on buffers that don't exist here is 0."""
+    good, rejected = admitted(rules)
+    rows = watched_by_any(df, good, field, complete=False)
+    numbers = [i for i, c in enumerate(good) if c.uses_field and c.type != "value_count"]
+    no_number = _complete() & F.col("c").isin(numbers) & to_f64(F.col("value")).isNull()
+    seen = rows.groupBy("c").agg(
+        F.count(F.lit(1)).alias("watched"),
+        F.count_if(~_complete()).alias("event_skipped_missing_field"),
+        F.count_distinct(F.when(_complete(), F.col("grp"))).alias("groups"),
+        F.count_if(no_number).alias("values_nonnumeric"),
+    )
+    counted = counters(rows.where(_complete()), good, caps).groupBy("c").agg(
+        *[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in COUNTED]
+    )
+    ids = df.sparkSession.createDataFrame([(i, c.id) for i, c in enumerate(good)], "c int, corr_id string")
+    every = F.broadcast(ids).join(seen, "c", "left").join(counted, "c", "left")
+    names = ("watched", "event_skipped_missing_field", "groups", "values_nonnumeric", *COUNTED)
+    return every.select(
+        "corr_id",
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in names],
+        *[F.lit(rejected.get(n, 0)).cast("long").alias(n) for n in ("rules_rejected", "cond_over_arity")],
+        *[F.lit(0).cast("long").alias(n) for n in ("groups_evicted", "fires_truncated", "group_evidence_dropped", "oom_dropped")],
+    )

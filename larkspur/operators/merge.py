@@ -65,7 +65,7 @@ def merge(
         "ord", F.col("ts").cast("double").alias("ts"), F.lit(None).cast("array<long>").alias("rids"),
         F.col("group").alias("grp"), "value", *nothing,
     )
-    return fires(fold(own.unionByName(theirs), c, caps), c)
+    return fires(fold(own.unionByName(theirs).withColumn("c", F.lit(0)), [c], caps), c)
 
 
 def total(contributions: DataFrame) -> DataFrame:

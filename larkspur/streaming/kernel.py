@@ -64,12 +64,18 @@ class Group:
     merge_seen: int = 0
     remote: bool = False
     fired_until: float = 0.0
-    last_update: float = 0.0
+    last_update: float = -math.inf
+    in_order: bool = True  # no event was earlier than the one before it
 
     def event(self, c: Correlation, ts: float, rule_ids, value: str | None, caps: Caps, stats: Counter) -> int | None:
         """What was observed if the event fires the correlation, else None.
 
         rule_ids: all rules that matched the event."""
+        return self._suppressed(c, ts, self.step(c, ts, rule_ids, value, caps, stats), stats)
+
+    def step(self, c: Correlation, ts: float, rule_ids, value: str | None, caps: Caps, stats: Counter) -> int | None:
+        """As `event`, without regard to earlier fires."""
+        self.in_order = self.in_order and ts >= self.last_update
         self.last_update = ts
         matched = set(rule_ids)
         hits = [r for r in c.base_rule_ids if r in matched]
@@ -77,13 +83,13 @@ class Group:
         hits = hits[:MAX_SEEN_RULES]
         if not hits:
             return None
-        observed = getattr(self, "_" + c.type)(c, ts, hits, value, caps, stats)
-        return self._suppressed(c, ts, observed, stats)
+        return getattr(self, "_" + c.type)(c, ts, hits, value, caps, stats)
 
     def contribution(self, c: Correlation, k: dict, caps: Caps, stats: Counter) -> int | None:
         """Fold in a partial aggregate of another instance (kind, ts, count, numeric,
         value, seen_mask)."""
         ts, kind = float(k.get("ts") or 0.0), k["kind"]
+        self.in_order = self.in_order and ts >= self.last_update
         self.last_update, self.remote = ts, True
         observed = None
         if kind == "count":
@@ -146,8 +152,12 @@ class Group:
         if value is None:
             return None
         start = ts - c.timespan_s
-        for v in [v for v, t in self.distinct.items() if t < start]:
-            del self.distinct[v]
+        if self.in_order:  # the values stand in the order of their times
+            while self.distinct and next(iter(self.distinct.values())) < start:
+                self.distinct.popitem(last=False)
+        else:
+            for v in [v for v, t in self.distinct.items() if t < start]:
+                del self.distinct[v]
         if value not in self.distinct and len(self.distinct) >= caps.max_distinct:
             self.distinct.popitem(last=False)
             stats["distinct_evicted"] += 1
@@ -339,7 +349,7 @@ class Engine:
     def n_groups(self, i: int | None = None) -> int:
         return sum(map(len, self.groups)) if i is None else len(self.groups[i])
 
-    def _sweep(self, now: float) -> None:
+    def sweep(self, now: float) -> None:
         if self.last_sweep is None:
             self.last_sweep = now
         if now - self.last_sweep < self.caps.sweep_s:
@@ -365,7 +375,7 @@ class Engine:
         rule_ids = list(rule_ids)
         if not rule_ids or not self.rules:
             return []
-        self._sweep(ts)
+        self.sweep(ts)
         out, done = [], set()
         for r in rule_ids:
             for i in self.watching.get(r, ()):
@@ -386,11 +396,17 @@ class Engine:
                     out.append(fire(c, key, observed, ts, g.remote))
         return out
 
+    def one(self, i: int, key: tuple, ts: float, rule_ids, value: str | None) -> tuple[int | None, bool]:
+        """What correlation i observes if the event fires it in that group, else None;
+        and whether the group has had contributions."""
+        g = self._group(i, key)
+        return g.event(self.rules[i], ts, rule_ids, value, self.caps, self.stats), g.remote
+
     def contribution(self, k: dict) -> list[dict]:
         if not k.get("corr_id"):
             return []
         ts = float(k.get("ts") or 0.0)
-        self._sweep(ts)
+        self.sweep(ts)
         i = next((i for i, c in enumerate(self.rules) if c.id == k["corr_id"]), None)
         if i is None:
             return []

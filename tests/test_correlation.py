@@ -73,18 +73,78 @@ def test_out_of_order_goes_to_the_fold(spark):
     rows = stream(2, disorder=0.3)
     df, field = frame(spark, rows)
     rules = [RULES[0], RULES[3], RULES[8], RULES[9]]
-    assert not correlate.is_time_ordered(correlate.watched(df, RULES[0], field))
+    seen = correlate.sliced(correlate.watched_by_any(df, rules[:2], field), rules[:2], Caps())
+    assert not correlate.out_of_order(seen).isEmpty()
     assert found(correlate.correlate(df, rules, field)) == expected(rows, rules)
     caps = Caps(event_time=True, watermark_s=2.0, sweep_s=1e18)
     assert found(correlate.correlate(df, rules[2:], field, caps, "fold")) == expected(rows, rules[2:], caps)
 
 
-def test_caps(spark):
+@pytest.mark.parametrize("how", ["auto", "windows", "fold"])
+def test_caps(spark, how):
     rows = stream(3)
     df, field = frame(spark, rows)
     caps = Caps(max_distinct=2, max_events=3, sweep_s=1e18)
     rules = [Correlation("vc", "value_count", (1, 2), 600, count=2, field="v", op="eq"), Correlation("ec", "event_count", (1,), 600, count=3, op="eq")]
-    assert found(correlate.correlate(df, rules, field, caps, "fold")) == expected(rows, rules, caps)
+    rules += [Correlation("vm", "value_median", (1, 2), 60, group_by=("g",), count=2, field="v", op="lte"), Correlation("br", "beaconing", (1,), 300, group_by=("g",), count=3, cv_permille=900)]
+    assert found(correlate.correlate(df, rules, field, caps, how)) == expected(rows, rules, caps)
+
+
+def test_distant_disorder_is_seen(spark):
+    """An event far earlier than the one before it, with empty slices between."""
+    rows = [(0, 1000.0, [1], "a", "x", "1"), (1, 5000.0, [1], "a", "x", "1"), (2, 3000.0, [1], "a", "x", "1"), (3, 9000.0, [1], "b", "x", "1")]
+    df, field = frame(spark, rows)
+    c = [Correlation("e", "event_count", (1,), 100, group_by=("g",), count=2)]
+    want = expected(rows, c)
+    assert want and found(correlate.correlate(df, c, field)) == want
+
+
+def test_one_pass_and_one_exchange_for_many_correlations(spark):
+    rows = stream(8, 50)
+    df, field = frame(spark, rows)
+    rules = [c for c in RULES if c.type in correlate.WINDOWED]
+    plan = correlate.sliced(correlate.watched_by_any(df, rules, field), rules, Caps())._jdf.queryExecution().executedPlan().toString()
+    assert len(rules) >= 10 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") == 1
+
+
+def test_one_large_group_ends(spark):
+    """20,000 events of a group in one window: time and memory follow the caps."""
+    df = spark.range(20_000).select(F.col("id").alias("ord"), (F.col("id") / 100).alias("ts"), F.array(F.lit(1).cast("long")).alias("rids"),
+                                    F.lit("a").alias("g"), F.lit("h").alias("h"), (F.col("id") % 7).cast("string").alias("v"))
+    caps = Caps(max_events=200, sweep_s=1e18)
+    rules = [Correlation(t, t, (1,), 100_000, group_by=("g",), count=10**6, field="v", percentile=50) for t in ("value_sum", "value_percentile", "value_count")]
+    assert correlate.correlate(df, rules, from_columns(df), caps).count() == 0
+
+
+def test_instances_have_their_own_bounds(spark):
+    rows = stream(9)
+    df, field = frame(spark, rows)
+    rules = [Correlation("e", "event_count", (1, 2), 600, group_by=("g", "h"), count=3), RULES[1]]
+    caps = Caps(max_groups=2, sweep_s=50)
+    assert found(correlate.instances(df, rules, field, caps)) == expected(rows, rules, caps)
+    engine = Engine(rules, caps)
+    for o, ts, rids, g, h, v in rows:
+        engine.event(rids, {"g": g, "h": h, "v": v}.get, ts)
+    assert engine.stats["groups_evicted"] > 0
+    live = {r["id"]: r["groups"] for r in correlate.instances(df, rules, field, caps, live=True).collect()}
+    assert live == {c.id: engine.n_groups(i) for i, c in enumerate(rules)}
+    whole = Caps(sweep_s=1e18)
+    assert found(correlate.instances(df, rules, field, whole, of=3)) == expected(rows, rules, whole)
+
+
+def test_counters(spark):
+    rows = stream(10)
+    df, field = frame(spark, rows)
+    caps = Caps(max_events=3, max_distinct=2, sweep_s=1e18)
+    rules = [Correlation("vs", "value_sum", (1, 2), 600, group_by=("g",), count=1, field="v"), Correlation("vc", "value_count", (1, 2), 600, group_by=("g",), count=1, field="v")]
+    for c in rules:
+        engine = Engine([c], caps)
+        for o, ts, rids, g, h, v in rows:
+            engine.event(rids, {"g": g, "h": h, "v": v}.get, ts)
+        row = correlate.stats(df, [c, Correlation("", "x", (), 0)], field, caps).first().asDict()
+        assert row["rules_rejected"] == 1
+        for name in (*correlate.COUNTED, "event_skipped_missing_field", "values_nonnumeric"):
+            assert row[name] == engine.stats[name], name
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
