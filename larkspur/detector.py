@@ -44,9 +44,9 @@ class Detector:
             "correlations": len(self.correlations), "regexes_skipped": skipped_regexes(self.rules), **self.rejected,
         }
 
-    def match(self, df: DataFrame, json: str | Column = "json", field: events.Resolver | None = None, routed: bool = True, strategy: str = "auto") -> DataFrame:
+    def match(self, df: DataFrame, json: str | Column = "json", field: events.Resolver | None = None, routed: bool = True, strategy: str = "auto", prefilter: str = "auto", counters: str | None = None) -> DataFrame:
         """df with the hits of each event."""
-        return match.match(df, self.rules, field or _json(json), routed, strategy)
+        return match.match(df, self.rules, field or _json(json), routed, strategy, prefilter=prefilter, counters=counters)
 
     def explain(self, df: DataFrame, rule_id: int, json: str | Column = "json", field: events.Resolver | None = None) -> DataFrame:
         return match.explain(df, self.rules, rule_id, field or _json(json))
@@ -67,8 +67,8 @@ class Detector:
         of numbers that gives the arrival order."""
         resolve = field or _json(json)
         timed = self.clocked(df, json, order, ref_wall, field)
-        # A test that the optimizer can't move keeps the rules out of later filters.
-        hits = match.match(timed, self.rules, resolve).where(F.rand(0) >= 0).where(F.size("hits") > 0)
+        # Events without hits go where a row is made for each correlation that watches one.
+        hits = match.match(timed, self.rules, resolve)
         rows = hits.withColumn("ord", F.col(order)).withColumn("rids", F.transform("hits", lambda h: h["rule_id"]))
         return correlate.correlate(rows, self.correlations, resolve, caps, how)
 

@@ -189,36 +189,46 @@ def own_time(field, ref_wall: float | Column = 0) -> Column:
     return F.coalesce(*tries)
 
 
-def event_clock(df: DataFrame, own: str, order: str, out: str = "ts", buckets: int = 200) -> DataFrame:
+#: Rows of a range that one task sorts, about, and ranges at most (a number for each is in the plan).
+RANGE_ROWS, MAX_RANGES = 1_000_000, 50_000
+
+
+def event_clock(
+    df: DataFrame, own: str, order: str, out: str = "ts", range_rows: int = RANGE_ROWS, max_ranges: int = MAX_RANGES
+) -> DataFrame:
     """df with the clock `out`: an event's own time, or its last timed predecessor's
     in arrival order (0 before any), and `untimed`.
 
-    The carry goes over all rows. Rows are dealt to ranges of the order; each
-    range's last own time (a row for each range) is carried on to the next, and
-    within a range a window does it. No task sees more than one range.
+    The carry goes over all rows. Rows are dealt to ranges of the order, as many as
+    their number asks for; each range's last own time (a row for each range) is
+    carried on to the next, and within a range a window does it. Input of one range
+    takes one pass; else the order is read once more, and own times are.
     """
-    bounds = df.agg(
-        F.percentile_approx(F.col(order), F.lit([i / buckets for i in range(1, buckets)]), F.lit(10_000))
-    ).first()[0]
-    cuts = sorted(set(bounds or []))
-    steps = F.lit([1 << i for i in range(max(1, len(cuts)).bit_length())][::-1])
-    held, n = F.lit(cuts or [0]), len(cuts)
-    bucket = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, s: F.when((at + s <= n) & (F.element_at(held, F.least(at + s, F.lit(max(n, 1)))) < F.col(order)), at + s)
-        .otherwise(at),
-    )
+    rows = df.count()
+    ranges = max(1, min(max_ranges, rows // range_rows))
+    cuts: list = []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        bounds = df.agg(F.percentile_approx(F.col(order), F.lit(shares), F.lit(max(10_000, 4 * ranges)))).first()[0]
+        cuts = sorted(set(bounds or []))
+    n = len(cuts)
+    bucket, table = F.lit(0), [0.0]
+    if n:
+        steps = F.lit([1 << i for i in range(n.bit_length())][::-1])
+        held = F.lit(cuts)
+        bucket = F.aggregate(  # how many cuts are below the row's place, by halving
+            steps,
+            F.lit(0),
+            lambda at, s: F.when(
+                (at + s <= n) & (F.element_at(held, F.least(at + s, F.lit(n))) < F.col(order)), at + s
+            ).otherwise(at),
+        )
+        timed = df.select(bucket.alias("b"), F.col(order).alias("o"), F.col(own).alias("t")).where("t is not null")
+        last = {r["b"]: r["t"] for r in timed.groupBy("b").agg(F.max_by("t", "o").alias("t")).collect()}
+        for b in range(n):
+            table.append(last.get(b, table[-1]))
     rows = df.withColumn("__bucket", bucket)
-    last = rows.where(F.col(own).isNotNull()).groupBy("__bucket").agg(F.max_by(own, order).alias("__last"))
-    # At most `buckets` rows, whatever the input's size.
-    ends = sorted((r["__bucket"], r["__last"]) for r in last.collect())
-    carried, table = 0.0, {}
-    ends_by = dict(ends)
-    for b in range(n + 2):
-        table[b] = carried
-        carried = ends_by.get(b, carried)
     w = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.element_at(F.lit([float(table[b]) for b in range(n + 2)]), F.col("__bucket") + 1)
+    before = F.element_at(F.lit([float(x) for x in table]), F.col("__bucket") + 1)
     clock = F.coalesce(F.last(own, ignorenulls=True).over(w), before)
     return rows.withColumn(out, clock).withColumn("untimed", F.col(own).isNull()).drop("__bucket")

@@ -28,6 +28,9 @@ HIT = T.StructType(
 )
 #: Rules from which on the Arrow strategy is the default.
 ARROW_FROM = 400
+#: What is counted of an event: rules that routing lets through, rules verified, whether the
+#: prefilter ran, necessary literals it found, and bytes that it searched.
+COUNTERS = ("rules_in_scope", "rules_verified", "prefilter_runs", "needles_confirmed", "haystack_bytes")
 #: Characters of a value that an explanation shows.
 SHOWN = 4096
 
@@ -82,46 +85,107 @@ def _needed(rules: RuleSet) -> list[str]:
 
 
 def match(
-    df: DataFrame, rules: RuleSet, field: Resolver, routed: bool = True, strategy: str = "auto", out: str = "hits"
+    df: DataFrame,
+    rules: RuleSet,
+    field: Resolver,
+    routed: bool = True,
+    strategy: str = "auto",
+    out: str = "hits",
+    prefilter: str = "auto",
+    counters: str | None = None,
 ) -> DataFrame:
     """df with the hits of each event.
 
     strategy: "native" compiles the rules into the plan; "arrow" evaluates them
-    in batches, looking for necessary literals with one automaton a field;
-    "auto" takes the second for large rule sets. Both give the same hits.
+    in batches; "auto" takes the second for large rule sets and where a prefilter is
+    asked for. Both give the same hits.
+    prefilter: whether the arrow strategy first looks for necessary literals, with one
+    automaton a field, and for necessary numbers and networks: "off", "auto" (in large
+    buckets) or "on" (always, without routing too). It changes no hit.
+    counters: a column for the event's COUNTERS.
     """
-    if strategy == "native" or strategy == "auto" and len(rules.rules) < ARROW_FROM:
+    large = len(rules.rules) >= ARROW_FROM or prefilter == "on"
+    if strategy == "native" or strategy == "auto" and not large:
         ready = Projected(field, rules)
         wide = df.select("*", *ready.columns(field)).select("*", *ready.folds())
-        return wide.withColumn(out, hits_column(rules, ready, routed)).drop(*ready.names.values(), *ready.fold_names.values())
-    return _match_arrow(df, rules, field, routed, out)
+        wide = wide.withColumn(out, hits_column(rules, ready, routed))
+        if counters:
+            scope = scope_size(rules, ready) if routed else F.lit(len(rules.rules)).cast("long")
+            zero = F.lit(0).cast("long")
+            told = {"rules_in_scope": scope, "rules_verified": scope}
+            wide = wide.withColumn(counters, F.struct(*[told.get(n, zero).alias(n) for n in COUNTERS]))
+        return wide.drop(*ready.names.values(), *ready.fold_names.values())
+    return _match_arrow(df, rules, field, routed, out, prefilter, counters)
+
+
+def scope_size(rules: RuleSet, field: Resolver) -> Column:
+    """How many rules routing lets through."""
+    routes = compile.routes(field)
+    total = F.lit(0).cast("long")
+    for i in range(len(rules.rules)):
+        total = total + compile.in_scope(rules, i, routes).cast("long")
+    return total
 
 
-def _match_arrow(df: DataFrame, rules: RuleSet, field: Resolver, routed: bool, out: str) -> DataFrame:
+def _match_arrow(
+    df: DataFrame, rules: RuleSet, field: Resolver, routed: bool, out: str, prefilter: str, counters: str | None
+) -> DataFrame:
     needed = _needed(rules)
     shared = df.sparkSession.sparkContext.broadcast(rules)  # as large as its artifact
     labels = [dict(zip(HIT.names, label(r), strict=True)) for r in rules.rules]
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(HIT))])
+    made = [T.StructField(out, T.ArrayType(HIT))]
+    if counters:
+        made.append(T.StructField(counters, T.StructType([T.StructField(n, T.LongType()) for n in COUNTERS])))
+    schema = T.StructType([*df.schema.fields, *made])
     n = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to = to_arrow_schema(schema)
-        evaluator = Evaluator(shared.value)
+        evaluator = Evaluator(shared.value, prefilter)
         for batch in batches:
             cells = {f: batch.column(n + i).to_pylist() for i, f in enumerate(needed)}
-            hits = []
+            hits, told = [], []
             for row in range(batch.num_rows):
+                evaluator.stats.clear()
                 found = evaluator.matches(lambda f, row=row: cells[f][row] if f in cells else None, routed)
                 hits.append([labels[i] for i in sorted(found)])
+                told.append({name: evaluator.stats[name] for name in COUNTERS})
             cols = [batch.column(i).cast(to.field(i).type) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, to.field(n).type)], schema=to)
+            cols += [pa.array(v, to.field(n + i).type) for i, v in enumerate((hits, told)[: len(made)])]
+            yield pa.RecordBatch.from_arrays(cols, schema=to)
 
     wide = df.select("*", *[field(f).alias(f"__field_{i}") for i, f in enumerate(needed)])
     return wide.mapInArrow(run, schema)
 
 
+def needles(df: DataFrame, rules: RuleSet, field: Resolver, out: str = "needles") -> DataFrame:
+    """df with the necessary literals that each event holds, in order: all of a field's
+    are looked for at once."""
+    names = sorted({f for w in rules.witnesses if w.literal is not None for f in ([w.field] if w.field else rules.fields())})
+    shared = df.sparkSession.sparkContext.broadcast(rules)  # as large as its artifact
+
+    @F.udf(T.ArrayType(T.StringType()), useArrow=True)
+    def found(*texts):
+        cells = dict(zip(names, texts, strict=True))
+        return sorted({literal for _, literal in _evaluator(shared).present(cells.get)})
+
+    return df.withColumn(out, found(*[field(f) for f in names]) if names else F.array().cast("array<string>"))
+
+
+_READY: dict[int, Evaluator] = {}
+
+
+def _evaluator(shared) -> Evaluator:
+    """A worker makes a rule set's evaluator once."""
+    key = id(shared.value)
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Evaluator(shared.value, "on")
+    return _READY[key]
+
+
 def exploded(df: DataFrame, hits: str = "hits") -> DataFrame:
     """A row for each hit, its parts as columns."""
     return df.select("*", F.explode(hits).alias("__hit")).select("*", "__hit.*").drop("__hit", hits)
@@ -144,23 +208,21 @@ def as_json(df: DataFrame, hits: str = "hits") -> DataFrame:
     return df.select(F.to_json(F.struct(*keep, hits)).alias("value"))
 
 
-def with_stats(df: DataFrame, rules: RuleSet, field: Resolver, name: str = "match"):
-    """df observed under name: events, rules in scope and rules verified (the same
-    here, as the plan verifies what routing lets through). Returns the observed
-    DataFrame and the Observation."""
+def stats(df: DataFrame, counters: str) -> DataFrame:
+    """One row: events, and the sums of the counters that `match` gave each."""
+    return df.agg(
+        F.count(F.lit(1)).alias("events"),
+        *[F.coalesce(F.sum(F.col(counters)[n]), F.lit(0)).alias(n) for n in COUNTERS],
+    )
+
+
+def with_stats(df: DataFrame, counters: str, name: str = "match"):
+    """df observed under name as `stats` has it, and the Observation; works on streams."""
     from pyspark.sql import Observation
 
-    routes = compile.routes(field)
-    scope = F.lit(0).cast("long")
-    for i in range(len(rules.rules)):
-        scope = scope + compile.in_scope(rules, i, routes).cast("long")
     seen = Observation(name)
-    return df.observe(
-        seen,
-        F.count(F.lit(1)).alias("events"),
-        F.sum(scope).alias("rules_in_scope"),
-        F.sum(scope).alias("rules_verified"),
-    ), seen
+    sums = [F.sum(F.col(counters)[n]).alias(n) for n in COUNTERS]
+    return df.observe(seen, F.count(F.lit(1)).alias("events"), *sums), seen
 
 
 # --- explaining ------------------------------------------------------------------

@@ -198,10 +198,7 @@ for _key, _routed, _strategy, _prefilter in (
     ("match_linear", False, "native", False),
     ("match_routed", True, "native", False),
     ("hit_labels", False, "native", False),
-    ("route_buckets", True, "native", False),
-    ("prefilter_literal", True, "arrow", True),
-    ("prefilter_witness", False, "arrow", True),
-    ("multi_pattern", False, "arrow", True),
+    ("route_buckets", True, "arrow", False),
 ):
     _add(_key, partial(_hit_rows, routed=_routed, strategy=_strategy, prefilter=_prefilter), _hits_sql(_routed))
 
@@ -256,20 +253,107 @@ _add(
 )
 
 
+# Of each rule the literals, numbers and networks without which it can't match.
+_LITERALS = ("password=", "akia", "@mail", "the the")
+_HOLDS = {x: f"coalesce(contains({_fold_sql('text')}, '{x}'), false)" for x in _LITERALS}
+_CANDIDATE = {
+    10: f"({_HOLDS['password=']} OR {_HOLDS['akia']})", 20: _HOLDS["@mail"], 30: "true", 40: "true",
+    50: f"({_HOLDS['the the']} AND coalesce(n_chars < 2000, false))",
+}
+_IN_SCOPE = {r: f"(coalesce({b}, false) OR lang IS NULL OR lang = '')" for r, b in _BUCKETS.items()}
+
+
+def _prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rules the literal prefilter leaves of those in scope, and the hits."""
+    df, field = _inputs(spark, sf_dir, "documents")
+    found = match.match(df, document_rules(True), field, prefilter="on", counters="n")
+    return found.select("doc_id", "n.rules_in_scope", "n.rules_verified", "n.prefilter_runs", "n.needles_confirmed", F.size("hits").cast("long").alias("n_hits"))
+
+
+_add(
+    "prefilter_literal",
+    _prefiltered,
+    f"""WITH h AS (SELECT doc_id, count(*) AS n FROM ({_hits_sql(True)}) GROUP BY doc_id)
+    SELECT d.doc_id, {" + ".join(f"{x}::BIGINT" for x in _IN_SCOPE.values())} AS rules_in_scope,
+    {" + ".join(f"({_IN_SCOPE[r]} AND {_CANDIDATE[r]})::BIGINT" for r in _IN_SCOPE)} AS rules_verified, 1::BIGINT AS prefilter_runs,
+    {" + ".join(f"{x}::BIGINT" for x in _HOLDS.values())} AS needles_confirmed, coalesce(n, 0)::BIGINT AS n_hits
+    FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id""",
+)
+
+
+def _witness_rules() -> RuleSet:
+    """Rules whose necessary conditions are numbers and networks."""
+    return (
+        RuleBuilder()
+        .rule(1, (where("ip", "cidr", "64.0.0.0/3"),), (where("n_chars", "gte", 1000),))
+        .rule(2, (where("n_chars", "lt", 300), ), (where("source", "re", "[02468]$"),))
+        .rule(3, (where("ip", "cidr", "0.0.0.0/2"), ), (where("n_chars", "numeq", 7),), condition="0 1 or")
+        .build(True)
+    )
+
+
+def _witnessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, field = _inputs(spark, sf_dir, "documents")
+    found = match.match(df, _witness_rules(), field, routed=False, prefilter="on", counters="n")
+    return found.select("doc_id", "n.rules_in_scope", "n.rules_verified", F.array_join("hits.rule_id", ",").alias("rule_ids"))
+
+
+_NET = f"coalesce(({_ip_sql('ip')}) BETWEEN 1073741824 AND 1610612735, false)"
+_LOWEST = f"coalesce(({_ip_sql('ip')}) < 1073741824, false)"
+_add(
+    "prefilter_witness",
+    _witnessed,
+    f"""WITH d AS (SELECT doc_id, {_NET} AND coalesce(n_chars >= 1000, false) AS a, coalesce(n_chars < 300, false) AS b,
+      coalesce(regexp_matches(source, '[02468]$'), false) AS r, {_LOWEST} OR coalesce(n_chars = 7, false) AS c FROM ({_SOURCE['documents']}))
+    SELECT doc_id, 3::BIGINT AS rules_in_scope, a::BIGINT + b::BIGINT + 1 AS rules_verified,
+    concat_ws(',', CASE WHEN a THEN '1' END, CASE WHEN b AND r THEN '2' END, CASE WHEN c THEN '3' END) AS rule_ids FROM d""",
+)
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All literals of a rule set that a text holds, in one pass over the text."""
+    df, field = _inputs(spark, sf_dir, "documents")
+    return match.needles(df, document_rules(True), field).select("doc_id", F.array_join("needles", "|").alias("needles"))
+
+
+_add(
+    "multi_pattern",
+    _patterns,
+    "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {_HOLDS[x]} THEN '{x}' END" for x in sorted(_LITERALS)) + ") AS needles FROM documents",
+)
+
+
 def _match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, field = _inputs(spark, sf_dir, "documents")
-    rules = document_rules()
-    routes = compile.routes(field)
-    scope = sum((compile.in_scope(rules, i, routes).cast("long") for i in range(len(rules.rules))), F.lit(0).cast("long"))
-    return df.agg(F.count(F.lit(1)).alias("events"), F.sum(scope).alias("rules_in_scope"))
+    return match.stats(match.match(df, document_rules(True), field, prefilter="on", counters="n"), "n")
 
 
 _add(
     "match_stats",
     _match_stats,
-    "SELECT count(*) AS events, sum("
-    + " + ".join(f"(coalesce({b}, false) OR lang IS NULL OR lang = '')::BIGINT" for b in _BUCKETS.values())
-    + ")::BIGINT AS rules_in_scope FROM documents",
+    f"""SELECT count(*) AS events, sum({" + ".join(f"{x}::BIGINT" for x in _IN_SCOPE.values())})::BIGINT AS rules_in_scope,
+    sum({" + ".join(f"({_IN_SCOPE[r]} AND {_CANDIDATE[r]})::BIGINT" for r in _IN_SCOPE)})::BIGINT AS rules_verified, count(*) AS prefilter_runs,
+    sum({" + ".join(f"{x}::BIGINT" for x in _HOLDS.values())})::BIGINT AS needles_confirmed,
+    sum(strlen(coalesce(text, '')))::BIGINT AS haystack_bytes FROM documents""",
+)
+
+_DIALECT = ("é", "É", "٣", "7", " ", "aé b", "x")
+
+
+def _dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts beyond ASCII under patterns that take them for bytes, by both engines."""
+    df = _table(spark, sf_dir, "events")
+    text_of = F.element_at(F.lit(list(_DIALECT)), (F.col("event_id") % len(_DIALECT) + 1).cast("int"))
+    rows = df.select("event_id", text_of.alias("t"))
+    field = events.from_columns(rows)
+    test = lambda p: compile.predicate(Predicate("t", Op.RE, p), field)
+    return rows.select("event_id", test(r"\d").alias("digit"), test("(?:É|zz)+x?").alias("bounded"), test("É").alias("letter"), test("^..$").alias("two_bytes"), test(r"\bb").alias("border"))
+
+
+_add(
+    "pred_re_dialect",
+    _dialect,
+    "SELECT event_id, event_id % 7 = 3 AS digit, event_id % 7 = 1 AS bounded, event_id % 7 = 1 AS letter, event_id % 7 IN (0, 1, 2) AS two_bytes, event_id % 7 = 5 AS border FROM events",
 )
 
 
@@ -287,10 +371,51 @@ _CATALOGUE = " UNION ALL ".join(
     f"SELECT {rid}::BIGINT AS rule_id, '{t}' AS name, '{v}' AS verdict, {s}::INT AS severity, {sc}::DOUBLE AS score, {m}::VARCHAR AS mitre, {n}::INT AS n_selections, {p}::INT AS n_predicates"
     for (rid, (t, v, s, sc, m)), (n, p) in zip(_LABELS.items(), ((1, 2), (2, 3), (1, 1), (2, 2), (2, 2)), strict=True)
 )
-for _key, _round in (("load_rules", True), ("write_rules", True), ("rule_builder", False), ("info", False)):
+for _key, _round in (("rule_builder", False), ("info", True)):
     _add(_key, partial(_rule_catalogue, round_trip=_round), _CATALOGUE)
 
 
+def _load_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of rules that were written to a file and loaded from it."""
+    path = artifact.shared_path(spark, "rules")
+    artifact.dump_with_spark(spark, document_rules(), path)
+    rules = artifact.load_with_spark(spark, path)
+    artifact.remove(spark, path)
+    found = _matched(spark, sf_dir, True, rules=rules).select("doc_id", "hits")
+    return match.exploded(found).withColumn("score", F.col("score").cast("double"))
+
+
+_add("load_rules", _load_rules, _hits_sql(True))
+
+
+def _write_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes of a written file, and of copies of it that were tampered with."""
+    data = artifact.dumps(document_rules(True))
+    copies = {
+        "whole": data, "changed byte": data[:200] + bytes([data[200] ^ 1]) + data[201:], "cut": data[:-1], "other kind": b"x" + data[1:],
+        "longer": data + b"\0",
+    }
+    rows = []
+    for name, content in copies.items():
+        path = artifact.shared_path(spark, "rules")
+        artifact.write_bytes(spark, content, path)
+        try:
+            rules, result = artifact.load_with_spark(spark, path), "loaded"
+        except artifact.ArtifactError as e:
+            rules, result = RuleSet(), e.reason
+        artifact.remove(spark, path)
+        rows.append((name, result, len(rules.rules), len(rules.buckets), len(rules.witnesses)))
+    return spark.createDataFrame(rows, "copy string, result string, n_rules int, n_buckets int, n_witnesses int")
+
+
+_add(
+    "write_rules",
+    _write_rules,
+    """SELECT * FROM (VALUES ('whole', 'loaded', 5::INT, 5::INT, 5::INT), ('changed byte', 'crc', 0, 0, 0), ('cut', 'size', 0, 0, 0),
+    ('other kind', 'magic', 0, 0, 0), ('longer', 'size', 0, 0, 0)) t(copy, result, n_rules, n_buckets, n_witnesses)""",
+)
+
+
 def _scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON text, and what the resolver finds in it."""
     df = _table(spark, sf_dir, "events")
@@ -328,7 +453,14 @@ def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.as_json(_matched(spark, sf_dir, True).select("doc_id", "hits"))
 
 
-_add("sink_hits", _sink)
+_HIT_JSON = """'{"rule_id":' || rule_id || ',"title":"' || title || '","verdict":"' || verdict || '","severity":' || severity || ',"score":'
+    || printf('%.2f', score) || coalesce(',"mitre":"' || mitre || '"', '') || '}'"""
+_add(
+    "sink_hits",
+    _sink,
+    f"""WITH h AS (SELECT doc_id, string_agg({_HIT_JSON}, ',' ORDER BY rule_id) AS hits FROM ({_hits_sql(True)}) GROUP BY doc_id)
+    SELECT '{{"doc_id":' || d.doc_id || ',"hits":[' || coalesce(hits, '') || ']}}' AS value FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id""",
+)
 
 CORRELATION_FILE = """{"version": 1, "correlations": [
  {"id": "many", "type": "event_count", "base_rule_ids": [1, 2, 3], "group_by": ["user"], "timespan_s": 86400, "condition": {"op": "gte", "count": 5}, "level": "high"},
@@ -502,10 +634,10 @@ _LIST = "list({x}) OVER (PARTITION BY g ORDER BY e RANGE BETWEEN {t} PRECEDING A
 _GAPS = "list_transform(range(1, len(xs)), lambda i: xs[i + 1] - xs[i])"
 
 
-def _fires_sql(c: Correlation) -> str:
+def _fires_sql(c: Correlation, group: str | None = None) -> str:
     t, rids = c.timespan_s, ", ".join(map(str, c.base_rule_ids))
     case = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RULE_OF.items()) + " ELSE 0 END"
-    group = "CAST(user_id AS VARCHAR)" if c.group_by else "''"
+    group = group or ("CAST(user_id AS VARCHAR)" if c.group_by else "''")
     if c.alias_group_by:
         group = "CASE WHEN rid = 3 THEN CAST(user_id % 7 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END"
     base = f"""rid_events AS (SELECT *, {case} AS rid, epoch(ts) AS e FROM events),
@@ -556,23 +688,27 @@ def _fires_sql(c: Correlation) -> str:
     SELECT '{c.id}' AS corr_id, g AS grp, event_id, observed::BIGINT AS observed, {c.count}::BIGINT AS threshold, '{c.tier}' AS tier FROM fires"""
 
 
-def _ordered_sql(c: Correlation, unless: int = -1) -> str:
+def _ordered_sql(c: Correlation, unless: int = -1, time: str = "epoch(ts)", how: str = "") -> str:
     """A sequence as a recursion over each group's events; no fire while the rule
-    `unless` has matched within the time span. Each event has one rule."""
+    `unless` has matched within the time span. Each event has one rule. how: "times"
+    takes a step only if it isn't earlier than the last one; "waits" takes each event
+    when the group's next one arrives."""
     t, order = c.timespan_s, list(c.order)
     case = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RULE_OF.items()) + " ELSE 0 END"
     rids = ", ".join(map(str, c.base_rule_ids))
     done = f"p1 >= {len(order)}"
     fires = f"{done} AND e >= u AND NOT coalesce(s1 >= e - {t}, false)"
+    shift = "lag({0}) OVER (PARTITION BY g ORDER BY event_id)" if how == "waits" else "{0}"
+    steps = f"coalesce(r = {order}[p0 + 1], false)" + (" AND (p0 = 0 OR et >= l)" if how == "times" else "")
     return f"""WITH RECURSIVE n AS (
-      SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_id) AS k FROM (
-        SELECT event_id, CAST(user_id AS VARCHAR) AS g, epoch(ts) AS e, {case} AS rid FROM events) WHERE rid IN ({rids})),
+      SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_id) AS k, {shift.format("rid")} AS r, {shift.format("e")} AS et FROM (
+        SELECT event_id, CAST(user_id AS VARCHAR) AS g, {time} AS e, {case} AS rid FROM events) WHERE rid IN ({rids})),
     st AS (
-      SELECT DISTINCT g, 0::BIGINT AS k, 0::BIGINT AS p, 0::DOUBLE AS a, 0::DOUBLE AS u, NULL::DOUBLE AS s, false AS fire, 0::BIGINT AS event_id FROM n
+      SELECT DISTINCT g, 0::BIGINT AS k, 0::BIGINT AS p, 0::DOUBLE AS a, 0::DOUBLE AS l, 0::DOUBLE AS u, NULL::DOUBLE AS s, false AS fire, 0::BIGINT AS event_id FROM n
       UNION ALL
-      SELECT g, k, CASE WHEN {done} THEN 0 ELSE p1 END, a1, CASE WHEN {fires} THEN e + {t} ELSE u END, s1, {fires}, event_id FROM (
-        SELECT g, k, event_id, e, u, s1, p0 + (rid = {order}[p0 + 1])::BIGINT AS p1, CASE WHEN p0 = 0 AND rid = {order[0]} THEN e ELSE a END AS a1 FROM (
-          SELECT n.g, n.k, n.event_id, n.e, n.rid, st.a, st.u, CASE WHEN n.rid = {unless} THEN n.e ELSE st.s END AS s1,
+      SELECT g, k, CASE WHEN {done} THEN 0 ELSE p1 END, a1, CASE WHEN p1 > p0 THEN et ELSE l END, CASE WHEN {fires} THEN e + {t} ELSE u END, s1, {fires}, event_id FROM (
+        SELECT *, p0 + ({steps})::BIGINT AS p1, CASE WHEN p0 = 0 AND r = {order[0]} THEN et ELSE a END AS a1 FROM (
+          SELECT n.g, n.k, n.event_id, n.e, n.r, n.et, st.a, st.l, st.u, CASE WHEN n.rid = {unless} THEN n.e ELSE st.s END AS s1,
             CASE WHEN st.p > 0 AND st.a < n.e - {t} THEN 0 ELSE st.p END AS p0
           FROM st JOIN n ON n.g = st.g AND n.k = st.k + 1)))
     SELECT '{c.id}' AS corr_id, g AS grp, event_id, {len(c.base_rule_ids)}::BIGINT AS observed, {c.count}::BIGINT AS threshold, '{c.tier}' AS tier FROM st WHERE fire"""
@@ -584,12 +720,26 @@ for _key, _c in CORRELATIONS.items():
     else:
         _add(_key, partial(_correlation, c=_c), _fires_sql(_c))
 _CHAIN = CORRELATIONS["corr_temporal_ordered"]
-_add("corr_ordered_evtime", partial(_correlation, c=_CHAIN, how="fold", caps=Caps(event_time=True)), _ordered_sql(_CHAIN))
-_add("corr_ordered_watermark", partial(_correlation, c=_CHAIN, how="fold", caps=EVENT_TIME))
+#: Every third event says that it happened two days before.
+_LATE = 2 * DAY
+
+
+def _disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, field = event_stream(spark, sf_dir)
+    rows = rows.withColumn("ts", F.col("ts") - F.when(F.col("ord") % 3 == 0, float(_LATE)).otherwise(0.0))
+    found = correlate.correlate(rows, [_CHAIN], field, Caps(event_time=True))
+    return found.select("corr_id", F.array_join("group", ",").alias("grp"), F.col("ord").alias("event_id"), "observed", "threshold", "tier")
+
+
+_add("corr_ordered_evtime", _disordered, _ordered_sql(_CHAIN, time=f"epoch(ts) - CASE WHEN event_id % 3 = 0 THEN {_LATE} ELSE 0 END", how="times"))
+# The slack is two seconds, which a user's events are always apart: each waits for the next.
+_add("corr_ordered_watermark", partial(_correlation, c=_CHAIN, how="fold", caps=EVENT_TIME), _ordered_sql(_CHAIN, how="waits"))
 _COUNT = CORRELATIONS["corr_event_count"]
 for _key, _name in (("corr_fold_event_count", "corr_event_count"), ("corr_fold_value_sum", "corr_value_sum"), ("corr_fold_beacon", "corr_beacon_raw")):
     _add(_key, partial(_correlation, c=CORRELATIONS[_name], how="fold"), _fires_sql(CORRELATIONS[_name]))
-_add("cap_distinct", partial(_correlation, c=CORRELATIONS["corr_value_count"], how="fold", caps=Caps(max_distinct=4)))
+# Of more than three values the oldest go, so three is what a full set has.
+_FEW = Correlation("few_kinds", "value_count", ALL, 5 * DAY, group_by=("user",), count=3, op="eq", field="type")
+_add("cap_distinct", partial(_correlation, c=_FEW, caps=Caps(max_distinct=3)), _fires_sql(_FEW).replace("len(list_distinct(", "least(3, len(list_distinct(").replace(")) AS o", "))) AS o"))
 _RING = Correlation("ring", "event_count", ALL, 30 * DAY, group_by=("user",), count=6, op="eq")
 # Once a ring of six is full its count stays six.
 _add("cap_ring", partial(_correlation, c=_RING, how="fold", caps=Caps(max_events=6)), _fires_sql(_RING).replace("WHERE o = 6", "WHERE o >= 6").replace("o AS observed", "6 AS observed"))
@@ -609,18 +759,61 @@ def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("corr_validate", _validate, "SELECT i::INT AS n, i = 0 AS admitted FROM range(7) t(i)")
 
 
+_NO_LIMIT = 1e18
+_LRU = Correlation("lru", "event_count", ALL, DAY, group_by=("type",), count=3)
+
+
+def _cap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group at most: an event of another group makes it forget the last one."""
+    rows, field = event_stream(spark, sf_dir)
+    found = correlate.instances(rows, [_LRU], field, Caps(max_groups=1, sweep_s=_NO_LIMIT))
+    return found.select("corr_id", F.array_join("group", ",").alias("grp"), F.col("ord").alias("event_id"), "observed", "threshold", "tier")
+
+
+_WATCHED = "event_type IN ('click', 'view', 'purchase', 'signup', 'logout')"
+_RUN = "event_type || '#' || (row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id))"
+_add("cap_groups", _cap_groups, _fires_sql(_LRU, _RUN).replace("g AS grp", "split_part(g, '#', 1) AS grp"))
+
+
+def _live(spark: SparkSession, sf_dir: str, caps: Caps, of: int) -> DataFrame:
+    """By correlation: the groups that instances still hold after all events."""
+    rows, field = event_stream(spark, sf_dir)
+    rules = [_COUNT, CORRELATIONS["corr_temporal"]]
+    found = correlate.instances(rows, rules, field, caps, of, live=True)
+    return found.select(F.col("c").alias("position"), F.col("id").alias("corr_id"), "groups")
+
+
+def _live_sql(swept: bool) -> str:
+    last = "(SELECT arg_max(epoch(ts), event_id) FROM events)"
+    parts = []
+    for i, (name, span, rids) in enumerate((("count", DAY, _WATCHED), ("both", 5 * DAY, "event_type IN ('click', 'purchase')"))):
+        keep = f"WHERE m >= {last} - {span}" if swept else ""
+        parts.append(f"SELECT {i}::INT AS position, '{name}' AS corr_id, count(*) AS groups FROM (SELECT max(epoch(ts)) AS m FROM events WHERE {rids} GROUP BY user_id) {keep}")
+    return " UNION ALL ".join(parts)
+
+
+_add("introspect", partial(_live, caps=Caps(sweep_s=_NO_LIMIT), of=4), _live_sql(False))
+_add("sweep", partial(_live, caps=Caps(sweep_s=0.0), of=4), _live_sql(True))
+
+
 def _corr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of six events, and a rule that isn't valid."""
     rows, field = event_stream(spark, sf_dir)
-    return correlate.stats(rows, [_COUNT, CORRELATIONS["corr_temporal"]], field)
+    rules = [_RING, CORRELATIONS["corr_temporal"], Correlation("", "event_count", (1,), 60)]
+    found = correlate.stats(rows, rules, field, Caps(max_events=6))
+    return found.select("corr_id", "watched", "groups", "event_skipped_missing_field", "values_nonnumeric", "rules_rejected", "cond_over_arity", "events_overwritten", "distinct_evicted", "watermark_late")
 
 
 _add(
     "corr_stats",
     _corr_stats,
-    """SELECT 'count' AS corr_id, count(*) AS watched, 0::BIGINT AS event_skipped_missing_field, count(DISTINCT user_id) AS groups, 0::BIGINT AS values_nonnumeric FROM events WHERE event_type IN ('click', 'view', 'purchase', 'signup', 'logout')
-    UNION ALL SELECT 'both', count(*), 0, count(DISTINCT user_id), 0 FROM events WHERE event_type IN ('click', 'purchase')""",
+    f"""WITH n AS (SELECT user_id, event_type, row_number() OVER w AS k, epoch(ts) AS e, lag(epoch(ts), 6) OVER w AS sixth FROM events WHERE {_WATCHED}
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT 'ring' AS corr_id, count(*) AS watched, count(DISTINCT user_id) AS groups, 0::BIGINT AS event_skipped_missing_field, 0::BIGINT AS values_nonnumeric,
+      1::BIGINT AS rules_rejected, 0::BIGINT AS cond_over_arity, count(*) FILTER (k > 6 AND sixth >= coalesce(before, e) - {30 * DAY}) AS events_overwritten, 0::BIGINT AS distinct_evicted, 0::BIGINT AS watermark_late
+      FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY k) AS before FROM n)
+    UNION ALL SELECT 'both', count(*), count(DISTINCT user_id), 0, 0, 1, 0, 0, 0, 0 FROM events WHERE event_type IN ('click', 'purchase')""",
 )
-_add("introspect", _corr_stats, ORACLES["corr_stats"])
 
 
 def _rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -665,23 +858,24 @@ _add(
 )
 
 
-def _partials(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+def _totals_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """What an owner has after the contributions of three instances."""
     rows, field = event_stream(spark, sf_dir)
-    out = merge.partials(rows, CORRELATIONS[key], field)
-    own = {"count": "count", "sum": "count numeric", "distinct": "value", "seen": "seen_mask"}
-    out = out.withColumn("numeric", F.round("numeric", 4)).withColumn("grp", F.get("group", F.lit(0)))
-    return out.select("kind", "corr_id", "grp", *own[contrib.kind_for(CORRELATIONS[key])].split())
+    parts = [merge.partials(rows.where(F.col("ord") % 3 == i), CORRELATIONS[key], field) for i in range(3)]
+    out = merge.total(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    own = {"count": "merge_n", "sum": "merge_n merge_sum", "distinct": "distinct_values", "seen": "merge_seen"}
+    out = out.withColumn("merge_sum", F.round("merge_sum", 4)).withColumn("grp", F.get("group", F.lit(0)))
+    return out.select("corr_id", "grp", *own[contrib.kind_for(CORRELATIONS[key])].split())
 
 
-_WATCHED = "event_type IN ('click', 'view', 'purchase', 'signup', 'logout')"
 _USER = "CAST(user_id AS VARCHAR) AS grp"
 for _key, _of, _sql in (
-    ("merge_count", "corr_event_count", f"SELECT 'count' AS kind, 'count' AS corr_id, {_USER}, count(*) AS count FROM events WHERE {_WATCHED} GROUP BY user_id"),
-    ("merge_sum", "corr_value_sum", f"SELECT 'sum' AS kind, 'sum' AS corr_id, {_USER}, count(*) AS count, round(sum(value), 4) AS numeric FROM events WHERE {_WATCHED} GROUP BY user_id"),
-    ("merge_distinct", "corr_value_count", f"SELECT DISTINCT 'distinct' AS kind, 'kinds' AS corr_id, {_USER}, event_type AS value FROM events WHERE {_WATCHED}"),
-    ("merge_seen", "corr_temporal", f"SELECT 'seen' AS kind, 'both' AS corr_id, {_USER}, bit_or(CASE event_type WHEN 'click' THEN 1 ELSE 2 END)::BIGINT AS seen_mask FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id"),
+    ("merge_count", "corr_event_count", f"SELECT 'count' AS corr_id, {_USER}, count(*) AS merge_n FROM events WHERE {_WATCHED} GROUP BY user_id"),
+    ("merge_sum", "corr_value_sum", f"SELECT 'sum' AS corr_id, {_USER}, count(*) AS merge_n, round(sum(value), 4) AS merge_sum FROM events WHERE {_WATCHED} GROUP BY user_id"),
+    ("merge_distinct", "corr_value_count", f"SELECT 'kinds' AS corr_id, {_USER}, count(DISTINCT event_type) AS distinct_values FROM events WHERE {_WATCHED} GROUP BY user_id"),
+    ("merge_seen", "corr_temporal", f"SELECT 'both' AS corr_id, {_USER}, bit_or(CASE event_type WHEN 'click' THEN 1 ELSE 2 END)::BIGINT AS merge_seen FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id"),
 ):
-    _add(_key, partial(_partials, key=_of), _sql)
+    _add(_key, partial(_totals_of, key=_of), _sql)
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -692,7 +886,15 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("corr_id", F.array_join("group", ",").alias("grp"), "ord", "observed", "remote")
 
 
-_add("merge_fires", _merged)
+# Who is over the threshold by the contribution alone fires on it, and then is silent.
+_MERGED = _fires_sql(_COUNT).replace(" AS o FROM rows_in", " + count(*) OVER (PARTITION BY g) AS o, count(*) OVER (PARTITION BY g) AS total FROM rows_in")
+_MERGED = _MERGED.replace("WHERE o >= 5", "WHERE o >= 5 AND total < 5").rsplit("SELECT 'count'", 1)[0]
+_add(
+    "merge_fires",
+    _merged,
+    f"""{_MERGED} SELECT 'count' AS corr_id, g AS grp, event_id AS ord, observed::BIGINT AS observed, true AS remote FROM fires
+    UNION ALL SELECT 'count', g, -1, count(*), true FROM rows_in GROUP BY g HAVING count(*) >= 5""",
+)
 
 
 def _codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,14 +23,14 @@ INDEX, POSTING, WITNESS, COUNT = struct.Struct("<I"), struct.Struct("<IHBB"), st
 #: Header slots after magic, version and size: (count slot or None, offset slot) of each section.
 SLOTS = {
     "fields": (0, 1), "values": (2, 3), "preds": (4, 5), "sels": (6, 7), "cond": (8, 9), "rules": (10, 11),
-    "pool": (12, 13), "cidrs": (14, 15), "bkeys": (17, 18), "buckets": (17, 19), "bidx": (20, 21),
-    "litndl": (22, 23), "litpost": (22, 24), "litpref": (25, 26), "litav": (27, 28), "rclause": (None, 29),
-    "fwit": (30, 31),
+    "pool": (12, 13), "cidrs": (14, 15), "bucket_names": (17, 18), "buckets": (17, 19), "bucket_members": (20, 21),
+    "needles": (22, 23), "needle_slices": (22, 24), "postings": (25, 26), "always": (27, 28), "clauses": (None, 29),
+    "witnesses": (30, 31),
 }
 RECORDS = {
     "fields": STRING, "values": STRING, "preds": PREDICATE, "sels": SLICE, "cond": TOKEN, "rules": RULE,
-    "cidrs": NETWORK, "bkeys": STRING, "buckets": SLICE, "bidx": INDEX, "litndl": STRING, "litpost": SLICE,
-    "litpref": POSTING, "litav": INDEX, "rclause": COUNT, "fwit": WITNESS,
+    "cidrs": NETWORK, "bucket_names": STRING, "buckets": SLICE, "bucket_members": INDEX, "needles": STRING, "needle_slices": SLICE,
+    "postings": POSTING, "always": INDEX, "clauses": COUNT, "witnesses": WITNESS,
 }
 NO_VALUE, ANY_FIELD, MAX_CLAUSES = 0xFFFFFFFF, 0xFFFF, 32
 CASED, NEGATED, FIELDREF = 1, 2, 4
@@ -103,7 +103,7 @@ class _Sections:
         _need(offset + size <= len(data), "string pool")
         if crc32c(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ArtifactError("crc")
-        self.pool, self.has_clauses = data[offset : offset + size], bool(slots[SLOTS["rclause"][1]])
+        self.pool, self.has_clauses = data[offset : offset + size], bool(slots[SLOTS["clauses"][1]])
 
     def text(self, ref: tuple[int, int], what: str) -> str:
         _need(ref[0] + ref[1] <= len(self.pool), what)
@@ -179,38 +179,38 @@ def _selection(rows) -> Selection:
 
 
 def _buckets(s: _Sections, n_rules: int) -> dict[str, tuple[int, ...]]:
-    for (i,) in s.bidx:
+    for (i,) in s.bucket_members:
         _need(i < n_rules, "bucket entry")
     out: dict[str, tuple[int, ...]] = {}
-    for key, (start, count) in zip(s.bkeys, s.buckets, strict=True):
+    for key, (start, count) in zip(s.bucket_names, s.buckets, strict=True):
         name = s.text(key, "bucket key")
-        own = tuple(i for (i,) in _slice(s.bidx, start, count, "bucket"))
+        own = tuple(i for (i,) in _slice(s.bucket_members, start, count, "bucket"))
         _need(name != "" or "" not in out, "a second always-verify bucket")
         out[name] = out.get(name, own)  # of equal keys the first is found
     return out
 
 
 def _conditions(s: _Sections, fields, cidrs, n_rules: int):
-    clauses = tuple(c for (c,) in s.rclause)
+    clauses = tuple(c for (c,) in s.clauses)
     for c in clauses:
         _need(c <= MAX_CLAUSES, "clause count")
 
     def check(rule: int, clause: int, what: str) -> None:
         _need(rule < n_rules and clause < MAX_CLAUSES and bool(clauses) and clause < clauses[rule], what)
 
-    for rule, field, clause, _ in s.litpref:
+    for rule, field, clause, _ in s.postings:
         _need(field == ANY_FIELD or field < len(fields), "posting's field")
         check(rule, clause, "posting")
     found = []
-    for needle, (start, count) in zip(s.litndl, s.litpost, strict=True):
+    for needle, (start, count) in zip(s.needles, s.needle_slices, strict=True):
         literal = s.text(needle, "needle")
         _need(needle[1] > 0, "empty needle")
-        for rule, field, clause, _ in _slice(s.litpref, start, count, "postings"):
+        for rule, field, clause, _ in _slice(s.postings, start, count, "postings"):
             found.append(Witness(rule, clause, None if field == ANY_FIELD else fields[field], literal))
-    always = tuple(i for (i,) in s.litav)
+    always = tuple(i for (i,) in s.always)
     for i in always:
         _need(i < n_rules and not (clauses and clauses[i]), "always-verify entry")
-    for rule, field, clause, op, number in s.fwit:
+    for rule, field, clause, op, number in s.witnesses:
         _need(field != ANY_FIELD and field < len(fields), "witness's field")
         check(rule, clause, "witness")
         _need(op == Op.CIDR or op in NUMERIC, "witness's operator")
@@ -233,6 +233,39 @@ def load_with_spark(spark, path: str) -> RuleSet:
     return loads(bytes(row[0]))
 
 
+def shared_path(spark, name: str) -> str:
+    """A new path that all executors read: in the checkpoint folder or the warehouse."""
+    import uuid
+
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    return f"{folder or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4()}.bin"
+
+
+def _file_system(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark, data: bytes, path: str) -> None:
+    """To any path that Spark writes."""
+    where, system = _file_system(spark, path)
+    out = system.create(where)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def dump_with_spark(spark, rules: RuleSet, path: str) -> None:
+    write_bytes(spark, dumps(rules), path)
+
+
+def remove(spark, path: str) -> None:
+    where, system = _file_system(spark, path)
+    system.delete(where, False)
+
+
 # --- writing -------------------------------------------------------------------
 
 
@@ -283,17 +316,17 @@ def dumps(rules: RuleSet) -> bytes:
             needles.setdefault(w.literal, []).append((w.rule, field, w.clause, 0))
         else:
             number = cidrs.of(w.value) if w.op == Op.CIDR else w.value
-            rows["fwit"].append((w.rule, field, w.clause, int(w.op), number))
+            rows["witnesses"].append((w.rule, field, w.clause, int(w.op), number))
     for literal, postings in needles.items():
-        rows["litndl"].append(pool.ref(literal))
-        rows["litpost"].append((len(rows["litpref"]), len(postings)))
-        rows["litpref"] += postings
+        rows["needles"].append(pool.ref(literal))
+        rows["needle_slices"].append((len(rows["postings"]), len(postings)))
+        rows["postings"] += postings
     for key, members in rules.buckets.items():
-        rows["bkeys"].append(pool.ref(key))
-        rows["buckets"].append((len(rows["bidx"]), len(members)))
-        rows["bidx"] += [(i,) for i in members]
-    rows["litav"] = [(i,) for i in rules.always]
-    rows["rclause"] = [(c,) for c in rules.clauses]
+        rows["bucket_names"].append(pool.ref(key))
+        rows["buckets"].append((len(rows["bucket_members"]), len(members)))
+        rows["bucket_members"] += [(i,) for i in members]
+    rows["always"] = [(i,) for i in rules.always]
+    rows["clauses"] = [(c,) for c in rules.clauses]
     rows["fields"] = [pool.ref(f, terminated=True) for f in fields]
     rows["values"] = [pool.ref(v) for v in values]
     rows["cidrs"] = [(n.version, n.prefix, n.address.ljust(16, b"\0")) for n in cidrs]

@@ -73,12 +73,17 @@ def test_match_routed_linear_and_arrow_agree(spark):
     df, field = frame(spark)
     rules = some_rules().build(prefilter=True)
     for routed in (True, False):
-        want = {i: sorted(rules.rules[p].rule_id for p in evaluate.Evaluator(rules, 1).matches(e.get, routed)) for i, e in enumerate(EVENTS)}
+        want = {i: sorted(rules.rules[p].rule_id for p in evaluate.Evaluator(rules, "on").matches(e.get, routed)) for i, e in enumerate(EVENTS)}
         brute = evaluate.Evaluator(RuleSet(rules.rules, rules.buckets))
         assert want == {i: sorted(rules.rules[p].rule_id for p in brute.matches(e.get, routed)) for i, e in enumerate(EVENTS)}
         for how in ("native", "arrow"):
             got = match.match(df, rules, field, routed, how).select("ord", "hits").collect()
             assert {r["ord"]: sorted(h["rule_id"] for h in r["hits"]) for r in got} == want
+        for mode in ("off", "auto", "on"):
+            got = match.match(df, rules, field, routed, "arrow", prefilter=mode, counters="n").select("ord", "hits", "n.*").collect()
+            assert {r["ord"]: sorted(h["rule_id"] for h in r["hits"]) for r in got} == want
+            assert all((r["rules_verified"] < r["rules_in_scope"]) == (mode == "on") for r in got if r["rules_in_scope"] == 8 and r["ord"] == 5)
+            assert {r["prefilter_runs"] for r in got} == {int(mode == "on")}
     # An event with an unknown bucket sees rule 4 only; one without any sees all rules.
     assert {i: w for i, w in ((3, [4]), (5, []))}.items() <= {i: sorted(rules.rules[p].rule_id for p in brute.matches(e.get, True)) for i, e in enumerate(EVENTS)}.items()
 
@@ -191,3 +196,23 @@ def test_read_inputs(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("_ts=5\ta=1=2\ta=3\tjunk\n\nb=2\n")
     rows = events.with_line_clock(events.read_tsv(spark, str(tmp_path / "t.tsv"))).orderBy("ord").collect()
     assert [(r["fields"], r["clock"]) for r in rows] == [({"_ts": "5", "a": "1=2"}, 5.0), ({"b": "2"}, 2.0)]
+
+
+@pytest.mark.parametrize("cased", [True, False])
+def test_regular_expressions_have_one_dialect(spark, cased):
+    """Bytes, ASCII classes, ASCII folding: alike in the JVM, on single events and bounded."""
+    from larkspur.functions import regexes
+
+    texts = ["é", "É", "٣", "3", "\u2028", "\u0085", " ", "aé b", "a&b", "[a]x", "abcx", "ax", "\x0b", "_é", "éa", "a\n", "a", "^", "é1", "ab\n", "\u212a", "ſ"]
+    patterns = [
+        r"\d", "É", r"\s", "[a-z&&[^b]]", "[[:alpha:]]x", r"\bb", r"\bé", r"a\Z", r"a\z", "^a$", ".é", "^.$", "^..$", r"\w\W", "[^a]b",
+        r"\Ba", "[]a]x", "[é]", r"a\b", "(?:a|b)+x", r"\\b", "k", "s",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.orderBy("i").select(*[regexes.matches(F.col("t"), p, cased).alias(f"p{k}") for k, p in enumerate(patterns)]).collect()
+    for t, row in zip(texts, rows, strict=True):
+        assert list(row) == [regexes.search(p, cased, t) for p in patterns], t
+    assert {regexes.plan(p, cased) for p in patterns} == {"native", "bounded"}
+    hits = {p: [t for t, row in zip(texts, rows, strict=True) if row[k]] for k, p in enumerate(patterns)}
+    assert hits[r"\d"] == ["3", "é1"] and hits["É"] == ["É"] and hits["[a-z&&[^b]]"] == ["[a]x"]
+    assert "\u2028" not in hits[r"\s"] and not hits["k"]
