@@ -1,13 +1,14 @@
 """Homomorphic document fingerprints, in DataFrame functions only.
 
 A text is the multiset of its paragraphs: its lines, and within a line what
-ends with ". ", "! " or "? ". A paragraph's SHA-256 digest gives 64 hexadecimal
-digits, one for each lane of a wide vector; a fingerprint is the number of paragraphs
-and the lanes' sums modulo 2^32. The order of paragraphs doesn't matter; equal
-multisets have equal fingerprints; a paragraph is inserted or deleted by adding
-or subtracting its vector. Seen as differences from the mean the lanes are a
-random projection, so the cosine of two fingerprints estimates how many
-paragraphs two texts share.
+ends with ". ", "! " or "? ". A paragraph's SHA-256 digest gives its vector: eight
+wide lanes, the digest's 32-bit numbers, and 64 narrow ones, its hexadecimal digits.
+A fingerprint is the number of paragraphs and the lanes' sums modulo 2^32. The order
+of paragraphs doesn't matter; equal multisets have equal fingerprints; a paragraph is
+inserted or deleted by adding or subtracting its vector. The wide lanes, whose sums
+wrap around, tell different multisets apart. The narrow ones, as differences from the
+mean, are a random projection, so their cosine estimates how many paragraphs two
+texts share.
 
 Null text counts as empty (one empty paragraph). Sums are exact up to eight
 million paragraphs in a text. Repeated rows have equal fingerprints.
@@ -41,7 +42,8 @@ def _numbers(paragraph: Column) -> Column:
 
 
 def with_vector(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """df with array<long> out: the number of paragraphs, then the sums of the 64 lanes."""
+    """df with array<long> out: the number of paragraphs, then the sums of the 8 wide and
+    of the 64 narrow lanes."""
     low = F.lit(0xFFFFFFFF)
 
     def pair(k: int, first: int) -> Column:
@@ -58,7 +60,13 @@ def with_vector(df: DataFrame, text: Column, out: str) -> DataFrame:
     lanes = F.flatten(
         F.transform(sums, lambda s: F.array(s.bitwiseAND(low), F.shiftrightunsigned(s, 32).bitwiseAND(low)))
     )
-    total = F.concat(F.array(F.size("__numbers").cast("long")), lanes)
+
+    def wide_lane(k: int) -> Column:
+        total = F.aggregate("__numbers", F.lit(0).cast("long"), lambda total, x: total + F.element_at(x, k + 1))
+        return total.bitwiseAND(low)
+
+    wide = [wide_lane(k) for k in range(CHUNKS)]
+    total = F.concat(F.array(F.size("__numbers").cast("long"), *wide), lanes)
     numbers = F.transform(paragraphs(text), _numbers)
     return df.withColumn("__numbers", numbers).withColumn(out, total).drop("__numbers")
 
@@ -73,7 +81,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def centred(v: Column) -> Column:
         n = F.element_at(v, 1)
-        return F.transform(F.slice(v, 2, LANES), lambda x: (2 * x - 15 * n).cast("double"))
+        return F.transform(F.slice(v, 2 + CHUNKS, LANES), lambda x: (2 * x - 15 * n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
@@ -86,14 +94,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 def insert(v: Column, paragraph: Column, times: int = 1) -> Column:
     """The fingerprint vector v with a paragraph added (times -1: taken away)."""
+    numbers = _numbers(paragraph)
     own = F.flatten(
-        F.transform(
-            _numbers(paragraph),
-            lambda n: F.array(*[F.shiftright(n, 4 * b).bitwiseAND(F.lit(0xF)) for b in PLACES]),
-        )
+        F.transform(numbers, lambda n: F.array(*[F.shiftright(n, 4 * b).bitwiseAND(F.lit(0xF)) for b in PLACES]))
     )
     return F.zip_with(
-        v, F.concat(F.array(F.lit(1).cast("long")), own), lambda s, x: F.pmod(s + times * x, F.lit(1 << 32))
+        v, F.concat(F.array(F.lit(1).cast("long")), numbers, own), lambda s, x: F.pmod(s + times * x, F.lit(1 << 32))
     )
 
 
@@ -169,10 +175,11 @@ def edit_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 _NUMBERS = """list_transform(
   string_split(replace(replace(replace({0}, '. ', '.' || chr(10) || ' '), '! ', '!' || chr(10) || ' '), '? ', '?' || chr(10) || ' '), chr(10)),
   lambda p: sha256(p))"""
-_LANES = """list_prepend(len({0})::BIGINT, list_transform(range(64), lambda i: list_sum(list_transform({0},
+_LANES = """list_concat([len({0})::BIGINT], list_transform(range(8), lambda k: (list_sum(list_transform({0},
+  lambda h: ('0x' || substr(h, (k * 8 + 1)::BIGINT, 8))::BIGINT)) % 4294967296)::BIGINT), list_transform(range(64), lambda i: list_sum(list_transform({0},
   lambda h: ((('0x' || substr(h, ((i // 8) * 8 + 1)::BIGINT, 8))::BIGINT >> (4 * [0, 4, 1, 5, 2, 6, 3, 7][(i % 8) + 1])) & 15)))::BIGINT))"""
 _STRING = "list_aggregate(list_transform({0}, lambda x: printf('%08x', x)), 'string_agg', '')"
-_CENTRED = "list_transform({0}[2:], lambda x: (2 * x - 15 * {0}[1])::DOUBLE)"
+_CENTRED = "list_transform({0}[10:], lambda x: (2 * x - 15 * {0}[1])::DOUBLE)"
 _LIKE = """CASE WHEN {0} = {1} THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0, round(coalesce(
   list_inner_product({0}_c, {1}_c) / nullif(sqrt(list_inner_product({0}_c, {0}_c)) * sqrt(list_inner_product({1}_c, {1}_c)), 0), 0.0), 6))) END"""
 

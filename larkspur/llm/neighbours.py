@@ -49,7 +49,7 @@ COPIES, BOUNDARY = 4, 1.15
 #: many times as many a query visits that found too few.
 LISTS, FEW_LISTS, RATIO, WIDER = 48, 128, 1.35, 4
 #: Links of a centroid in the graph; how many best centroids a search keeps.
-DEGREE, BEAM = 24, 96
+DEGREE, BEAM = 24, 32
 
 
 def visits(lists: int) -> int:
@@ -104,7 +104,7 @@ class Graph:
         starts = np.linspace(0, k - 1, min(k, 16)).astype(np.int64)
         return cls(centres, [np.array(sorted(s - {i}), np.int64) for i, s in enumerate(out)], starts)
 
-    def search(self, v: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, v: np.ndarray, beam: int = 3 * BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found and their distances, nearest first."""
         seen = np.zeros(len(self.centres), bool)
         best: list[tuple[float, int]] = []  # the beam, farthest first
@@ -170,7 +170,7 @@ def _routed(df: DataFrame, graph, keep: list[str], copies: int, ratio: float | N
                 if ratio is None:
                     near = np.argsort(distances(v[None], g.centres)[0], kind="stable")[:copies]
                 else:
-                    ids, d = g.search(v, max(BEAM, 2 * copies))
+                    ids, d = g.search(v, max(BEAM, 2 * copies))  # narrow for indexing
                     near = ids[:copies][d[:copies] <= ratio * d[0] + 1e-12]
                 rows += [i] * len(near)
                 lists += near.tolist()
@@ -232,8 +232,10 @@ def search(
     k: int = 10,
     vec_id: str = "vec_id",
     vector: str = "embedding",
+    list_size: int = LIST,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found of each query."""
+    """query_id, rank (from 1), vec_id, score: the k nearest found of each query.
+    list_size: vectors of a list, about, as long as MAX_LISTS lists are enough."""
     spark = df.sparkSession
     entries, queries = _distinct(df, vec_id, vector, k, is_query)
     entries = cut_lineage(entries.withColumn("e", F.xxhash64("v")))
@@ -244,7 +246,7 @@ def search(
     share = min(1.0, 1.3 * SAMPLE / n)
     drawn = entries.where(F.pmod("e", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("e", "v")
     sample = np.array([r["v"] for r in drawn.orderBy("e").limit(SAMPLE).collect()], np.float64)
-    lists = int(min(MAX_LISTS, len(sample), max(1, n // LIST)))
+    lists = int(min(MAX_LISTS, len(sample), max(1, n // list_size)))
     graph = spark.sparkContext.broadcast(Graph.of(balanced_centroids(sample, lists)))
 
     posted = cut_lineage(_routed(entries, graph, ["v", "ids"], COPIES, BOUNDARY))

@@ -110,3 +110,23 @@ def test_small_far_groups_find_k(spark):
         rows = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
         assert [r for r, _ in rows] == list(range(1, 11))
         assert {v for _, v in rows[:2]} == {v for v, _ in exact(ids, wide, q, 2)}
+
+
+def test_recall_with_hundreds_of_lists(spark):
+    """500 lists, of which a query visits a fifth; exact answers for all queries."""
+    import pandas as pd
+
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(20_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": base.tolist()})).repartition(4)
+    assert neighbours.visits(500) / 500 < 0.2
+    found: dict[int, set[int]] = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0, list_size=40).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    right = 0
+    for q in range(0, 20_000, 100):
+        d = np.sqrt(((base - base[q]) ** 2).sum(1))
+        d[q] = np.inf
+        right += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert right / (10 * 200) >= 0.9, right / 2000
