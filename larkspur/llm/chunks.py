@@ -48,7 +48,7 @@ FEW_SPANS = 500_000
 #: Characters of a run of repeated chunks that count as a repeated span.
 MIN_CHARS = 100
 #: A chunk whose digest stands in about so many documents, or in one of so many chunks
-#: if that is more, is not shuffled by its digest; digests that are, at most.
+#: if that is more, isn't gathered by its digest.
 HOT, HOT_SHARE = 1_000, 100_000
 #: Places of such a chunk in the sample that finds them, about twice.
 SAMPLED = 10
@@ -216,15 +216,19 @@ def _spans(table: DataFrame, often: DataFrame, min_chars: int) -> DataFrame:
     rows = _places(table)
     own = rows.where("high is null").select(*keys, "i", F.col("doc").alias("source"))
     rows = rows.where("high is not null").withColumn("place", F.struct(*keys))
-    # Bounded by the sample's size (2 x HOT_SHARE or so), whatever the table's.
-    often = F.broadcast(often)
-    held = rows.join(often, digest)
-    first = held.groupBy(*digest).agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    first = F.broadcast(first.where("first != last").drop("last"))
-    found = held.join(first, digest).select(*keys, "i", "place", "first")
-    rest = rows.join(often, digest, "left_anti")
-    rest = rest.withColumn("first", F.min("place").over(Window.partitionBy(*digest))).select(*keys, "i", "place", "first")
-    later = found.unionByName(rest).where("place != first").select(*keys, "i", F.col("first.doc").alias("source"))
+    # Both tables are bounded by the sample's size (2 x HOT_SHARE rows or so). Rows of a
+    # frequent digest know its first place before they are shuffled, and are spread.
+    zero = F.lit(0).cast("long")
+    often = F.broadcast(often.select(F.col("high").alias("a"), F.col("low").alias("b")))
+    held = rows.join(often, (F.col("high") == F.col("a")) & (F.col("low") == F.col("b")), "left")
+    first = held.groupBy(F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b")).agg(
+        F.min(F.when(F.col("a").isNotNull(), F.col("place"))).alias("known")  # combined before it is shuffled
+    )
+    rows = rows.join(F.broadcast(first), (F.col("high") == F.col("a")) & (F.col("low") == F.col("b")), "left")
+    rows = rows.withColumn("salt", F.when(F.col("known").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*keys, "i")))
+    own_first = F.min("place").over(Window.partitionBy(*digest, "salt"))
+    rows = rows.withColumn("first", F.coalesce("known", own_first))
+    later = rows.where("place != first").select(*keys, "i", F.col("first.doc").alias("source"))
     later = later.union(own)
     in_order = Window.partitionBy(*keys).orderBy("i")
     apart = F.col("i") - F.lag("i", 1, -JOINED - 2).over(in_order) > JOINED
