@@ -49,6 +49,8 @@ from .components import connected_components
 
 #: Shingles of a piece of a large block, and of the small blocks that share a task.
 TASK_SHINGLES, SHARED_SHINGLES = 200_000, 100_000
+#: Large blocks (some 60 bytes each) that are broadcast rather than shuffled.
+FEW_BLOCKS = 100_000
 #: What a merged posting costs beside a probed one, as in DivideSkip.
 MU = 0.0085
 
@@ -282,7 +284,11 @@ def _pieces(blocks: DataFrame, task_shingles: int) -> DataFrame:
         F.ceil(F.sum("n") / task_shingles).alias("parts"),
         F.array_distinct(F.array(F.max_by("node", F.struct("score", "node")), F.min("node"), F.max("node"))).alias("leaders"),
     )
-    return blocks.join(weight, "block").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # Large blocks are few (each has task_shingles at least), and one may hold most nodes.
+    large = cut_lineage(weight.where("parts > 1"))
+    large = F.broadcast(large) if large.count() <= FEW_BLOCKS else large
+    rows = blocks.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    return rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
 def _first_tasks(pieces: DataFrame, task_shingles: int) -> DataFrame:
@@ -307,9 +313,11 @@ def _second_tasks(pieces: DataFrame, components: DataFrame, task_shingles: int)
     large = cut_lineage(large.select("node", "n", "block", "parts", "piece", F.coalesce("component", "node").alias("known")))
     main = large.groupBy("block", "known").agg(F.count(F.lit(1)).alias("nodes"))
     main = main.groupBy("block").agg(F.max_by("known", F.struct("nodes", "known")).alias("main"))
-    large = large.join(main, "block").withColumn("out", F.col("known") != F.col("main"))
+    few = large.select("block").distinct().count() <= FEW_BLOCKS
+    spread = F.broadcast if few else lambda x: x
+    large = large.join(spread(main), "block").withColumn("out", F.col("known") != F.col("main"))
     left = large.where("out").groupBy("block").agg(F.ceil(F.sum("n") / task_shingles).alias("chunks"))
-    rows = large.join(left, "block")
+    rows = large.join(spread(left), "block")
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks"))
     here = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("block", "piece", c))
     there = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.xxhash64("block", i, chunk))
