@@ -290,33 +290,10 @@ def instances(
     found = _together(rows, ["instance"], "ord", "c").mapInArrow(run, schema)
     if live:
         return found.groupBy("c", "id").agg(F.sum("groups").alias("groups"))
-    return _described(found, good)
-
-
-def fires(found: DataFrame, c: Correlation) -> DataFrame:
-    """The full record of each fire."""
-    texts = lambda xs: F.lit(list(xs)).cast("array<string>") if xs else F.array().cast("array<string>")
-    return found.select(
-        F.lit(c.id).alias("corr_id"),
-        F.lit(c.title).cast("string").alias("title"),
-        F.lit(c.type).alias("type"),
-        F.lit(c.mitre).cast("string").alias("technique"),
-        F.lit(c.level or "medium").alias("level"),
-        F.lit(c.tier).alias("tier"),
-        F.lit(WEIGHTS[c.tier]).alias("weight"),
-        texts(c.group_by).alias("group_by"),
-        F.col("grp").alias("group"),
-        "observed",
-        F.lit(c.count).cast("long").alias("threshold"),
-        F.lit(c.field if c.uses_field else None).cast("string").alias("value_field"),
-        F.lit(list(c.base_rule_ids)).cast("array<long>").alias("base_rule_ids"),
-        "remote",
-        "ts",
-        "ord",
-    )
+    return described(found, good)
 
 
-def _described(found: DataFrame, rules: list[Correlation]) -> DataFrame:
+def described(found: DataFrame, rules: list[Correlation]) -> DataFrame:
     """The full record of each fire of several correlations; a row for each of these is
     broadcast."""
     kinds = "c int, corr_id string, title string, type string, technique string, level string, tier string, weight double, group_by array<string>, threshold long, value_field string, base_rule_ids array<long>"
@@ -369,7 +346,7 @@ def correlate(
                 parts.append(fold(mine.join(wrong, ["c", "grp"], "left_semi"), good, caps))
                 found = found.join(wrong, ["c", "grp"], "left_anti")
         parts.append(suppress(found.where("ts is not null"), good))
-    return _described(reduce(DataFrame.unionByName, parts), good)
+    return described(reduce(DataFrame.unionByName, parts), good)
 
 
 def _kept(df: DataFrame) -> DataFrame:

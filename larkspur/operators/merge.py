@@ -12,7 +12,7 @@ from ..plans.model import Correlation
 from ..sources.contrib import kind_for
 from ..sources.events import Resolver
 from ..streaming.kernel import Caps
-from .correlate import fires, fold, watched
+from .correlate import described, fold, watched
 
 
 def partials(df: DataFrame, c: Correlation, field: Resolver) -> DataFrame:
@@ -65,7 +65,7 @@ def merge(
         "ord", F.col("ts").cast("double").alias("ts"), F.lit(None).cast("array<long>").alias("rids"),
         F.col("group").alias("grp"), "value", *nothing,
     )
-    return fires(fold(own.unionByName(theirs).withColumn("c", F.lit(0)), [c], caps), c)
+    return described(fold(own.unionByName(theirs).withColumn("c", F.lit(0)), [c], caps), [c])
 
 
 def total(contributions: DataFrame) -> DataFrame:

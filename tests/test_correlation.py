@@ -147,18 +147,22 @@ def test_counters(spark):
             assert row[name] == engine.stats[name], name
 
 
-def test_streams_agree_with_batches(spark, tmp_path):
+@pytest.mark.parametrize("ttl_ms", [None, 3_600_000])
+def test_streams_agree_with_batches(spark, tmp_path, ttl_ms):
+    """All correlations in one stream of several batches, with and without a time to live."""
     rows = stream(4, 120)
     df, field = frame(spark, rows)
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    df.where(F.col("ord") < 60).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.where(F.col("ord") >= 60).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     from larkspur.streaming.stateful import correlate_stream
 
-    out = correlate_stream(source, [RULES[8]], from_columns(source))
-    query = out.writeStream.format("memory").queryName("fires").trigger(availableNow=True).start()
+    out = correlate_stream(source, RULES, from_columns(source), ttl_ms=ttl_ms)
+    name = f"fires_{ttl_ms or 0}"
+    query = out.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     try:
-        assert query.awaitTermination(120)
-        assert found(spark.table("fires")) == expected(rows, [RULES[8]])
+        assert query.awaitTermination(240)
+        assert found(spark.table(name)) == expected(rows, RULES)
     finally:
         query.stop()
 
