@@ -155,12 +155,21 @@ def from_map(m: Column) -> Resolver:
     return lambda name: F.try_element_at(m, F.lit(name))
 
 
+def present(field: Resolver) -> Resolver:
+    """field with empty values absent, as correlations over TSV lines have it; rules
+    tell the two apart."""
+    return lambda name: F.nullif(field(name), F.lit(""))
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """ord, fields (a map) and clock (the number in _ts, else the line's number
-    among those that aren't blank) of every line that isn't blank."""
-    lines = spark.read.text(path).where(F.rtrim(F.col("value")) != "")
+    """ord, fields (a map) and clock of every line that isn't empty. The clock is the
+    number that _ts starts with, 0 if it starts with none, and null where _ts is absent
+    or empty (`with_line_clock` has the line's number there). Correlations over
+    the fields take `present(from_map(...))`."""
+    lines = spark.read.text(path).where(F.col("value") != "")
     rows = lines.select(F.monotonically_increasing_id().alias("ord"), pairs(F.col("value")).alias("fields"))
-    return rows.withColumn("clock", to_f64(F.try_element_at("fields", F.lit("_ts"))))
+    stamp = present(from_map(F.col("fields")))("_ts")
+    return rows.withColumn("clock", F.when(stamp.isNotNull(), F.coalesce(to_f64(stamp), F.lit(0.0))))
 
 
 def with_line_clock(rows: DataFrame) -> DataFrame:

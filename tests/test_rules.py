@@ -193,9 +193,15 @@ def test_read_inputs(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"x": 1} 7')
     with pytest.raises(Exception, match="event 1"):
         events.read_json(spark, str(tmp_path / "bad.json")).collect()
-    (tmp_path / "t.tsv").write_text("_ts=5\ta=1=2\ta=3\tjunk\n\nb=2\n")
+    (tmp_path / "t.tsv").write_text("_ts=5\ta=1=2\ta=3\tjunk\n\nb=2\n_ts=x\ta=\n_ts=\n  \n")
     rows = events.with_line_clock(events.read_tsv(spark, str(tmp_path / "t.tsv"))).orderBy("ord").collect()
-    assert [(r["fields"], r["clock"]) for r in rows] == [({"_ts": "5", "a": "1=2"}, 5.0), ({"b": "2"}, 2.0)]
+    assert [(r["fields"], r["clock"]) for r in rows] == [
+        ({"_ts": "5", "a": "1=2"}, 5.0), ({"b": "2"}, 2.0), ({"_ts": "x", "a": ""}, 0.0), ({"_ts": ""}, 4.0), ({}, 5.0),
+    ]
+    lines = events.read_tsv(spark, str(tmp_path / "t.tsv")).orderBy("ord")
+    field = events.from_map(F.col("fields"))
+    told = lines.select(field("a").alias("a"), events.present(field)("a").alias("present")).collect()
+    assert [tuple(r) for r in told] == [("1=2", "1=2"), (None, None), ("", None), (None, None), (None, None)]
 
 
 @pytest.mark.parametrize("cased", [True, False])
