@@ -44,13 +44,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import cut_lineage, give_back_memory, map_texts, text_or_empty, written
+from .common import cut_lineage, give_back_memory, map_texts, remove_written, text_or_empty, written
 from .components import connected_components
 
 #: Shingles of a piece of a large block, and of the small blocks that share a task.
 TASK_SHINGLES, SHARED_SHINGLES = 200_000, 100_000
 #: Large blocks (some 60 bytes each) that are broadcast rather than shuffled.
 FEW_BLOCKS = 100_000
+#: Rows to be decided (some 20 bytes each) that are broadcast to the texts, likewise.
+FEW_ROWS = 500_000
 #: What a merged posting costs beside a probed one, as in DivideSkip.
 MU = 0.0085
 
@@ -325,6 +327,15 @@ def _second_tasks(pieces: DataFrame, components: DataFrame, task_shingles: int)
     return rows.select("node", F.explode(where).alias("task"), "known")
 
 
+def _texts_of(df: DataFrame, nodes: DataFrame, pieces: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text of the rows of df that stand for the nodes of a block. All texts are
+    shuffled for this, once; what the tasks read afterwards is these rows alone."""
+    wanted = pieces.select("node").join(nodes, "node").select("first.*")
+    texts = df.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    same = texts["doc"].eqNullSafe(wanted["doc_id"]) & (texts["hash"] == wanted["text_hash"])
+    return texts.join(wanted, same, "left_semi").select(F.col("doc").alias("doc_id"), "text")
+
+
 def links(df: DataFrame, nodes: DataFrame, tasks: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """node, other: links that span the components of each task's texts; what is known
     to be in one component already (equal `known`) isn't compared."""
@@ -362,12 +373,14 @@ def _linked(
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = named.groupBy("node").agg(F.min(order).alias("first"))
     pieces = cut_lineage(_pieces(blocks, task_shingles))
-    found = cut_lineage(links(df, nodes, _first_tasks(pieces, task_shingles), k, percent, doc_id, text))
+    texts, path = written(_texts_of(df, nodes, pieces, doc_id, text), "block-texts")
+    found = cut_lineage(links(texts, nodes, _first_tasks(pieces, task_shingles), k, percent, "doc_id", "text"))
     if not pieces.where("parts > 1").isEmpty():
         second = cut_lineage(_second_tasks(pieces, connected_components(found, "node", "other"), task_shingles))
         if not second.isEmpty():
-            found = found.union(links(df, nodes, second, k, percent, doc_id, text))
+            found = found.union(links(texts, nodes, second, k, percent, "doc_id", "text"))
     joined = connected_components(found, "node", "other")
+    remove_written(df.sparkSession, path)
     return sets, nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
 
 
@@ -397,14 +410,16 @@ def one_of_each(
     doc_id: str = "doc_id",
     text: str = "text",
     task_shingles: int = TASK_SHINGLES,
+    few: int = FEW_ROWS,
 ) -> DataFrame:
     """df without near copies: of the rows that links connect one stays, that with the
     smallest doc_id (null ones come last) and, of equal ones, the smallest text hash.
     Rows are told apart by doc_id and text, never by doc_id alone. Rows with an empty
     set stay, all of them; columns of any name pass through.
 
-    Only rows that go, or that are repeated, are joined to the texts: if these are
-    few, as their written table's size tells, no text is shuffled."""
+    Only rows that go, or that are repeated, are joined to the texts: up to FEW_ROWS of
+    them, as counted, are broadcast and no text is shuffled for that; more are
+    shuffled, and all texts with them, with the same result."""
     sets, label = _linked(df, k, percent, doc_id, text, task_shingles)
     kept = label.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
     rows = sets.where("node is not null").groupBy("doc_id", "text_hash").agg((F.count(F.lit(1)) > 1).alias("again"))
@@ -413,16 +428,17 @@ def one_of_each(
         rows["doc_id"], rows["text_hash"], "again", kept["text_hash"].isNull().alias("gone")
     )
     judged, _ = written(judged.where("gone or again"), "near-copies")
+    spread = F.broadcast if judged.count() <= few else lambda x: x
     row = F.struct("*").alias("__row")
     texts = df.select(row, F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"))
 
     def same(found: DataFrame) -> Column:
         return texts["__id"].eqNullSafe(found["doc_id"]) & (texts["__hash"] == found["text_hash"])
 
-    once = texts.join(judged, same(judged), "left_anti").select("__row")
+    once = texts.join(spread(judged), same(judged), "left_anti").select("__row")
     repeated = judged.where("not gone")
     if not repeated.isEmpty():
-        several = texts.join(repeated, same(repeated), "left_semi")
+        several = texts.join(spread(repeated), same(repeated), "left_semi")
         several = several.groupBy("__id", "__hash").agg(F.first("__row").alias("__row")).select("__row")
         once = once.union(several)
     return once.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])

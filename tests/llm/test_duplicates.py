@@ -109,6 +109,19 @@ def test_leaders_spare_the_pairs_of_pieces(spark):
     assert jaccard._second_tasks(pieces, done, 6_000).isEmpty()
 
 
+def test_one_of_each_by_either_join(spark):
+    """Decided rows are broadcast or shuffled to the texts; brute force says which stay."""
+    rows = corpus(31, 120) + [(900, None), (901, ""), (None, "w1 w2 w3 w4 w5 w6"), (3, "another text of number three, apart")]
+    rows += [rows[0], rows[0], rows[-2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    smallest = {(i, c) for i, _, c in brute(rows, 5, 80)}
+    for few, task in ((0, 400), (10**6, 10**6)):
+        left = jaccard.one_of_each(df, 5, 80, task_shingles=task, few=few).collect()
+        ids = Counter(r["doc_id"] for r in left)
+        assert all(ids[i] == (1 if i == c else 0) for i, c in smallest if i not in (None, 3))
+        assert ids[None] == 1 and (3, "another text of number three, apart") in {tuple(r) for r in left}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_search_against_all_pairs(seed):
     rows = corpus(seed, 120)
