@@ -328,12 +328,13 @@ def _second_tasks(pieces: DataFrame, components: DataFrame, task_shingles: int)
 
 
 def _texts_of(df: DataFrame, nodes: DataFrame, pieces: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text of the rows of df that stand for the nodes of a block. All texts are
-    shuffled for this, once; what the tasks read afterwards is these rows alone."""
-    wanted = pieces.select("node").join(nodes, "node").select("first.*")
+    """doc_id, text of the rows of df that stand for the nodes of a block, and whether it
+    is a large one. All texts are shuffled for this, once; what the tasks read afterwards
+    is these rows alone."""
+    wanted = pieces.select("node", (F.col("parts") > 1).alias("large")).join(nodes, "node").select("large", "first.*")
     texts = df.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     same = texts["doc"].eqNullSafe(wanted["doc_id"]) & (texts["hash"] == wanted["text_hash"])
-    return texts.join(wanted, same, "left_semi").select(F.col("doc").alias("doc_id"), "text")
+    return texts.join(wanted, same).select("doc_id", "text", "large")
 
 
 def links(df: DataFrame, nodes: DataFrame, tasks: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -378,7 +379,7 @@ def _linked(
     if not pieces.where("parts > 1").isEmpty():
         second = cut_lineage(_second_tasks(pieces, connected_components(found, "node", "other"), task_shingles))
         if not second.isEmpty():
-            found = found.union(links(texts, nodes, second, k, percent, "doc_id", "text"))
+            found = found.union(links(texts.where("large"), nodes, second, k, percent, "doc_id", "text"))
     joined = connected_components(found, "node", "other")
     remove_written(df.sparkSession, path)
     return sets, nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
