@@ -10,7 +10,12 @@ inverted lists. The search for such partners goes from coarse to exact:
    them are counted (over all documents), and of each set the rarest of these
    are its short lists; a partner is on one of them. Sets whose short lists
    hold nobody else are done, which are nearly all but the near copies.
-3. What short lists connect, directly or not, is one block. A block's texts
+3. What short lists connect, directly or not, is one block. Common passages make
+   large blocks of texts that are no partners, so these are split by parts of whole
+   sets: the hashes are dealt to 2 d buckets, d being what two partners may differ
+   by; partners have d equal buckets at least, so of each set the d + 1 rarest are
+   lists as in 2. (d holds for a band of sizes; a set is in its own and the next one.)
+   What these connect are the final blocks. A block's texts
    meet in one task, and there DivideSkip finds the partners (of large blocks
    the pieces have a task each, to which a few leaders also go; then only what is
    outside the largest component found so far meets the other pieces): the shortest lists of a
@@ -53,6 +58,8 @@ TASK_SHINGLES, SHARED_SHINGLES = 200_000, 100_000
 FEW_BLOCKS = 100_000
 #: Rows to be decided (some 20 bytes each) that are broadcast to the texts, likewise.
 FEW_ROWS = 500_000
+#: Buckets that a large block's sets are dealt to, for each shingle that partners may differ by.
+BUCKETS = 2
 #: What a merged posting costs beside a probed one, as in DivideSkip.
 MU = 0.0085
 
@@ -70,6 +77,31 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def size_bands(percent: int, size: int) -> list[tuple[int, int]]:
+    """Smallest and largest sizes of bands, up to that next to the band of `size`:
+    partners are in one band or in neighbouring ones."""
+    bands, low = [], 1
+    while len(bands) < 2 or bands[-2][1] < size:
+        bands.append((low, low * 100 // percent))
+        low = bands[-1][1] + 1
+    return bands
+
+
+def bucket_tokens(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For a set's band and the next one: d, by how many shingles partners of that band
+    or smaller ones differ at most, and a token of the content of each of BUCKETS * d
+    buckets. Partners share a band's d, and all but d of its tokens."""
+    bands, out = size_bands(percent, len(s)), []
+    for band in (len(bands) - 2, len(bands) - 1):
+        d = 2 * bands[band][1] * (100 - percent) // (100 + percent)
+        m = max(1, BUCKETS * d)
+        content = np.zeros(m, np.uint64)
+        np.add.at(content, (shingles.mix(s) % np.uint64(m)).astype(np.int64), shingles.mix(~s))
+        name = shingles.mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
+        out.append((d, _signed(shingles.mix(content + name))))
+    return out
+
+
 def _signed(s: np.ndarray) -> np.ndarray:
     return s.view(np.int64)
 
@@ -251,23 +283,56 @@ def search(sets: list[np.ndarray], percent: int, known: list | None = None) -> n
     return label
 
 
-def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """node, n, token, often: the short lists that somebody else may be on."""
-    rows = reps.select("node", "n", F.explode("prefix").alias("token"))
+def _shared(rows: DataFrame, unit: list[str]) -> DataFrame:
+    """unit, n, shared: the tokens that others have too, rarest first, with often."""
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = rows.join(common, "token").groupBy("node").agg(
+    return rows.join(common, "token").groupBy(*unit).agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared")
     )
-    n = F.col("n")
-    t = -F.floor(-n * percent / 100)
-    kept = F.least(n, n - t - F.floor(-n / 20))
-    wanted = kept + F.floor(-t / 20) + 1  # a partner shares T/20 of the kept ones at least
+
+
+def _short_lists(shared: DataFrame, kept: Column, wanted: Column) -> DataFrame:
+    """node, n, token, often: the `wanted` rarest tokens of the `kept` ones, where shared."""
     free = wanted - (kept - F.size("shared"))
     return shared.where(free > 0).select(
         "node", "n", F.explode(F.slice("shared", F.lit(1), free.cast("int"))).alias("s")
     ).select("node", "n", F.col("s.token").alias("token"), F.col("s.often").alias("often"))
 
 
+def _candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """node, n, token, often: the short lists that somebody else may be on."""
+    shared = _shared(reps.select("node", "n", F.explode("prefix").alias("token")), ["node"])
+    n = F.col("n")
+    t = -F.floor(-n * percent / 100)
+    kept = F.least(n, n - t - F.floor(-n / 20))
+    return _short_lists(shared, kept, kept + F.floor(-t / 20) + 1)  # a partner shares T/20 of the kept ones at least
+
+
+def _split(pieces: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, n, block, score: small blocks as they are, and large ones split by the buckets
+    of their sets, as `texts` (node, text, large) have them."""
+
+    def kernel():
+        def run(texts):
+            sets = shingles.shingle_sets(pa.array(texts, pa.string()), k)
+            both = [bucket_tokens(s, percent) for s in sets]
+            return {
+                "n": [len(s) for s in sets],
+                "bands": [[{"d": d, "tokens": tokens} for d, tokens in b] for b in both],
+            }
+
+        return run
+
+    band = T.StructType([T.StructField("d", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    fields = [T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(band))]
+    rows = map_texts(texts.where("large"), kernel, fields, ["node"]).dropDuplicates(["node"])  # a text may be repeated
+    rows = rows.select("node", "n", F.posexplode("bands").alias("band", "b"))
+    rows = cut_lineage(rows.select("node", "n", "band", "b.d", F.explode("b.tokens").alias("token")))
+    shared = _shared(rows, ["node", "band", "d"])
+    candidates = cut_lineage(_short_lists(shared, F.greatest(F.lit(1), BUCKETS * F.col("d")), F.col("d") + 1))
+    return pieces.where("parts <= 1").select("node", "n", "block", "score").union(_blocks(candidates))
+
+
 def _blocks(candidates: DataFrame) -> DataFrame:
     """node, n, block, score of what short lists connect; the score is how many others
     a node shares its short lists with."""
@@ -328,13 +393,13 @@ def _second_tasks(pieces: DataFrame, components: DataFrame, task_shingles: int)
 
 
 def _texts_of(df: DataFrame, nodes: DataFrame, pieces: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text of the rows of df that stand for the nodes of a block, and whether it
-    is a large one. All texts are shuffled for this, once; what the tasks read afterwards
+    """node, doc_id, text of the rows of df that stand for the nodes of a block, and whether
+    it is a large one. All texts are shuffled for this, once; what the tasks read afterwards
     is these rows alone."""
-    wanted = pieces.select("node", (F.col("parts") > 1).alias("large")).join(nodes, "node").select("large", "first.*")
+    wanted = pieces.select("node", (F.col("parts") > 1).alias("large")).join(nodes, "node").select("node", "large", "first.*")
     texts = df.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     same = texts["doc"].eqNullSafe(wanted["doc_id"]) & (texts["hash"] == wanted["text_hash"])
-    return texts.join(wanted, same).select("doc_id", "text", "large")
+    return texts.join(wanted, same).select("node", "doc_id", "text", "large")
 
 
 def links(df: DataFrame, nodes: DataFrame, tasks: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -366,15 +431,20 @@ def _linked(
     df: DataFrame, k: int, percent: int, doc_id: str, text: str, task_shingles: int
 ) -> tuple[DataFrame, DataFrame]:
     """document_sets, and node, first (doc_id and text_hash of its first row), component."""
-    sets = cut_lineage(document_sets(df, k, percent, doc_id, text))
+    full, path = written(document_sets(df, k, percent, doc_id, text), "sets")
+    sets = cut_lineage(full.drop("prefix"))
+    reps = full.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    candidates = cut_lineage(_candidates(reps, percent))
+    remove_written(df.sparkSession, path)
+    blocks = cut_lineage(_blocks(candidates))
     named = sets.where("node is not null")
-    reps = named.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    blocks = cut_lineage(_blocks(cut_lineage(_candidates(reps, percent))))
     # Null identifiers come last.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = named.groupBy("node").agg(F.min(order).alias("first"))
     pieces = cut_lineage(_pieces(blocks, task_shingles))
     texts, path = written(_texts_of(df, nodes, pieces, doc_id, text), "block-texts")
+    if not pieces.where("parts > 1").isEmpty():
+        pieces = cut_lineage(_pieces(cut_lineage(_split(pieces, texts, k, percent)), task_shingles))
     found = cut_lineage(links(texts, nodes, _first_tasks(pieces, task_shingles), k, percent, "doc_id", "text"))
     if not pieces.where("parts > 1").isEmpty():
         second = cut_lineage(_second_tasks(pieces, connected_components(found, "node", "other"), task_shingles))

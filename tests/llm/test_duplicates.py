@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,48 @@ def test_leaders_spare_the_pairs_of_pieces(spark):
     assert jaccard._second_tasks(pieces, done, 6_000).isEmpty()
 
 
+def test_partners_share_bucket_tokens():
+    """Of 2 d tokens partners of a band share all but d, wherever their sizes are."""
+    rng = random.Random(11)
+    for percent in (60, 80, 85, 100):
+        for n in [*range(1, 60), 200, 317]:
+            x = {rng.randrange(1 << 63) for _ in range(n)}
+            y = set(x)
+            while True:  # as far from x as a partner can be
+                z = set(y)
+                if rng.random() < 0.5 and len(z) > 1:
+                    z.remove(min(z))
+                else:
+                    z.add(rng.randrange(1 << 63))
+                shared = len(x & z)
+                if 100 * shared < percent * (len(x) + len(z) - shared):
+                    break
+                y = z
+            bands = []
+            for one in (x, y):
+                at = len(jaccard.size_bands(percent, len(one))) - 2
+                tokens = jaccard.bucket_tokens(np.array(sorted(one), np.uint64), percent)
+                bands.append({at + i: (d, set(t.tolist())) for i, (d, t) in enumerate(tokens)})
+            band = max(map(min, bands))
+            (d, a), (e, b) = bands[0][band], bands[1][band]
+            assert d == e and len(a) == len(b) == max(1, jaccard.BUCKETS * d) and len(a & b) >= len(a) - d
+
+
+def test_common_passages_do_not_multiply_texts(spark, monkeypatch):
+    """Texts of a few common lines each share short lists, but few are near copies:
+    they are not dealt to all pieces of one large block."""
+    rng = random.Random(12)
+    lines = [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(40)]
+    rows = [(i, " ".join([*rng.sample(lines, 4), *(f"u{i}x{j}" for j in range(8))])) for i in range(400)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(0, 400, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, search = [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda df, nodes, tasks, *a: dealt.append(tasks.count()) or search(df, nodes, tasks, *a))
+    got = jaccard.link_components(df, 4, 85, task_shingles=2_000).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4, 85)
+    assert sum(dealt) <= 2 * len(rows)
+
+
 def test_one_of_each_by_either_join(spark):
     """Decided rows are broadcast or shuffled to the texts; brute force says which stay."""
     rows = corpus(31, 120) + [(900, None), (901, ""), (None, "w1 w2 w3 w4 w5 w6"), (3, "another text of number three, apart")]
