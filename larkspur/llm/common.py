@@ -43,17 +43,33 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries planned and run within delete their shuffle files as they end, not when
+    the driver's garbage collector comes across them. Only for queries whose rows are
+    written: nobody reads their shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder."""
+    """The rows of df, written to the shared checkpoint folder; their shuffles are deleted."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, with the setting
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared checkpoint folder, and its path."""
+    """df as a Parquet table in the shared checkpoint folder, and its path; its shuffles are deleted."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -283,9 +283,20 @@ def search(sets: list[np.ndarray], percent: int, known: list | None = None) -> n
     return label
 
 
+def _nodes_once(sets: DataFrame) -> DataFrame:
+    """node, n, prefix of every node, once. Only nodes of several rows are shuffled."""
+    rows = sets.where("node is not null").select("node", F.col("n_shingles").alias("n"), "prefix")
+    again = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = cut_lineage(again.select(F.col("node").alias("of")))
+    again = F.broadcast(again) if again.count() <= FEW_ROWS else again
+    same = rows["node"] == again["of"]
+    once = cut_lineage(rows.join(again, same, "left_semi").dropDuplicates(["node"]))
+    return rows.join(again, same, "left_anti").unionByName(once)
+
+
 def _shared(rows: DataFrame, unit: list[str]) -> DataFrame:
     """unit, n, shared: the tokens that others have too, rarest first, with often."""
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    common = cut_lineage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     return rows.join(common, "token").groupBy(*unit).agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared")
     )
@@ -433,8 +444,7 @@ def _linked(
     """document_sets, and node, first (doc_id and text_hash of its first row), component."""
     full, path = written(document_sets(df, k, percent, doc_id, text), "sets")
     sets = cut_lineage(full.drop("prefix"))
-    reps = full.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    candidates = cut_lineage(_candidates(reps, percent))
+    candidates = cut_lineage(_candidates(_nodes_once(full), percent))
     remove_written(df.sparkSession, path)
     blocks = cut_lineage(_blocks(candidates))
     named = sets.where("node is not null")

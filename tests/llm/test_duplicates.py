@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import chunks, components, jaccard, shingles
+from larkspur.llm import chunks, common, components, jaccard, shingles
 
 
 def words(t):
@@ -152,6 +153,23 @@ def test_common_passages_do_not_multiply_texts(spark, monkeypatch):
     assert sum(dealt) <= 2 * len(rows)
 
 
+def test_written_rows_leave_no_shuffles(spark):
+    """Shuffle files go as soon as rows are written; the session's own setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(str, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if "shuffle_" in f}
+    before, had = spark.conf.get(key), shuffles()
+    rows = common.cut_lineage(spark.range(1000).repartition(7, "id"))
+    table, path = common.written(spark.range(1000).repartition(7, "id"), "numbers")
+    for _ in range(50):  # files are deleted in the background
+        if not shuffles() - had:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - had
+    assert rows.count() == table.count() == 1000 and spark.conf.get(key) == before
+    common.remove_written(spark, path)
+
+
 def test_one_of_each_by_either_join(spark):
     """Decided rows are broadcast or shuffled to the texts; brute force says which stay."""
     rows = corpus(31, 120) + [(900, None), (901, ""), (None, "w1 w2 w3 w4 w5 w6"), (3, "another text of number three, apart")]
