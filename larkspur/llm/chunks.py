@@ -169,8 +169,10 @@ def repeated_spans(
     spark = df.sparkSession
     table, path = written(chunk_table(df, doc_id, text), "chunks")
     table, more = _texts_once(table)
-    spans = cut_lineage(_spans(table, _often(table), min_chars))
-    for p in (path, *more):
+    # The digests' shuffle is deleted before those behind it are written.
+    later, again = written(_later(table, _often(table)), "repeats")
+    spans = cut_lineage(_spans(table, later, min_chars))
+    for p in (path, again, *more):
         remove_written(spark, p)
     return spans
 
@@ -211,7 +213,8 @@ def _often(table: DataFrame) -> DataFrame:
     return cut_lineage(many.where(F.col("n") >= SAMPLED).select("high", "low"))
 
 
-def _spans(table: DataFrame, often: DataFrame, min_chars: int) -> DataFrame:
+def _later(table: DataFrame, often: DataFrame) -> DataFrame:
+    """doc, part, i, source of every digest that stands earlier, too."""
     keys, digest = ["doc", "part"], ["high", "low"]
     rows = _places(table)
     own = rows.where("high is null").select(*keys, "i", F.col("doc").alias("source"))
@@ -229,7 +232,11 @@ def _spans(table: DataFrame, often: DataFrame, min_chars: int) -> DataFrame:
     own_first = F.min("place").over(Window.partitionBy(*digest, "salt"))
     rows = rows.withColumn("first", F.coalesce("known", own_first))
     later = rows.where("place != first").select(*keys, "i", F.col("first.doc").alias("source"))
-    later = later.union(own)
+    return later.union(own)
+
+
+def _spans(table: DataFrame, later: DataFrame, min_chars: int) -> DataFrame:
+    keys = ["doc", "part"]
     in_order = Window.partitionBy(*keys).orderBy("i")
     apart = F.col("i") - F.lag("i", 1, -JOINED - 2).over(in_order) > JOINED
     runs = later.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(in_order))

@@ -327,6 +327,24 @@ def test_spans_are_those_of_brute_force(spark, monkeypatch, hot):
     assert got == brute_spans(rows, 40) and len(got) > 100
 
 
+def test_repeats_are_written_before_spans_are_cut(spark, monkeypatch):
+    """So the digests' shuffle is gone by then; no table is left behind."""
+    paths, write = {}, chunks.written
+
+    def noted(df, name):
+        table, paths[name] = write(df, name)
+        return table, paths[name]
+
+    monkeypatch.setattr(chunks, "written", noted)
+    df = spark.createDataFrame(passages(4)[0], "doc_id long, text string")
+    spans = chunks.repeated_spans(df)
+    assert "repeats" in paths and spans.count() > 10
+    assert "Window" not in str(spans._jdf.queryExecution().optimizedPlan())
+    for path in paths.values():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def test_borders_resist_insertions():
     rng = random.Random(8)
     t = " ".join(str(rng.randrange(10**6)) for _ in range(400))
