@@ -6,11 +6,14 @@ inverted lists. The search for such partners goes from coarse to exact:
 
 1. Documents with equal sets become one node.
 2. Of each set the shingles with the smallest hashes are kept, n - T + n/20
-   of them: partners share about n/20 of these. Document frequencies among
+   of them, or n - T + EXTRA: partners share about n/20 of these, or EXTRA.
+   Document frequencies among
    them are counted (over all documents), and of each set the rarest of these
    are its short lists; a partner is on one of them. Sets whose short lists
-   hold nobody else are done, which are nearly all but the near copies.
-3. What short lists connect, directly or not, is one block. Common passages make
+   hold nobody else are done, which are nearly all but the near copies. (With n/20
+   alone short texts that share a fifth with others, in a passage or a line, are
+   on each other's lists, and what these connect grows faster than the input.)
+3. What short lists connect, directly or not, is one block. Common passages can make
    large blocks of texts that are no partners, so these are split by parts of whole
    sets: the hashes are dealt to 2 d buckets, d being what two partners may differ
    by; partners have d equal buckets at least, so of each set the d + 1 rarest are
@@ -58,6 +61,8 @@ TASK_SHINGLES, SHARED_SHINGLES = 200_000, 100_000
 FEW_BLOCKS = 100_000
 #: Rows to be decided (some 20 bytes each) that are broadcast to the texts, likewise.
 FEW_ROWS = 500_000
+#: Shingles that partners share of what is kept of their sets, at least, where these have as many.
+EXTRA = 40
 #: Buckets that a large block's sets are dealt to, for each shingle that partners may differ by.
 BUCKETS = 2
 #: What a merged posting costs beside a probed one, as in DivideSkip.
@@ -70,7 +75,8 @@ def occurrences(n: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - occurrences(n, percent) + -(-n // 20))
+    """Partners of n shingles or more share min(T, max(n/20, EXTRA)) of their prefixes, at least."""
+    return min(n, n - occurrences(n, percent) + max(-(-n // 20), EXTRA))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -315,8 +321,10 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     shared = _shared(reps.select("node", "n", F.explode("prefix").alias("token")), ["node"])
     n = F.col("n")
     t = -F.floor(-n * percent / 100)
-    kept = F.least(n, n - t - F.floor(-n / 20))
-    return _short_lists(shared, kept, kept + F.floor(-t / 20) + 1)  # a partner shares T/20 of the kept ones at least
+    kept = F.least(n, n - t + F.greatest(-F.floor(-n / 20), F.lit(EXTRA)))
+    # A partner has T shingles at least, and so shares as many of the kept ones as two sets of that size do.
+    same = F.least(-F.floor(-t * percent / 100), F.greatest(-F.floor(-t / 20), F.lit(EXTRA)))
+    return _short_lists(shared, kept, kept - same + 1)
 
 
 def _split(pieces: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -153,6 +153,40 @@ def test_common_passages_do_not_multiply_texts(spark, monkeypatch):
     assert sum(dealt) <= 2 * len(rows)
 
 
+def test_kept_shingles_of_partners():
+    """Partners share what the short lists count on, of the shingles that are kept."""
+    rng = random.Random(13)
+    for percent in (60, 80, 85, 100):
+        for n in [*range(1, 60), 200, 900]:
+            x = sorted(rng.sample(range(1 << 40), n))
+            shared = x[: jaccard.occurrences(n, percent)] if rng.random() < 0.5 else x[n - jaccard.occurrences(n, percent) :]
+            kept = set(x[: jaccard.prefix_length(n, percent)])
+            low = sorted({*shared, *range(-5 * n, 0)})  # others of y come first
+            for y in (sorted(shared), low[-n:]):
+                both = len(set(x) & set(y))
+                if 100 * both < percent * (n + len(y) - both):
+                    continue
+                t = jaccard.occurrences(n, percent)
+                same = min(jaccard.occurrences(t, percent), max(-(-t // 20), jaccard.EXTRA))
+                assert len(kept & set(y[: jaccard.prefix_length(len(y), percent)])) >= same
+
+
+@pytest.mark.parametrize(("k", "percent"), [(5, 80), (4, 85)])
+def test_passages_in_short_texts_do_not_make_blocks(spark, k, percent):
+    """Short texts with a third in common passages are in no block, however many there
+    are; near copies of them are in blocks of two."""
+    rng = random.Random(14)
+    lines = [" ".join(f"l{i}x{j}" for j in range(14)) for i in range(30)]
+    rows = [(i, " ".join([*rng.sample(lines, 2), *(f"u{i}x{j}" for j in range(56))])) for i in range(400)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(0, 400, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = jaccard.document_sets(df, k, percent, "doc_id", "text")
+    blocks = jaccard._blocks(jaccard._candidates(jaccard._nodes_once(sets), percent))
+    assert [r["count"] for r in blocks.groupBy("block").count().collect()] == [2] * 50
+    got = jaccard.link_components(df, k, percent, task_shingles=2_000).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, k, percent)
+
+
 def test_written_rows_leave_no_shuffles(spark):
     """Shuffle files go as soon as rows are written; the session's own setting is as before."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
