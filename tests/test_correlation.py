@@ -1,10 +1,13 @@
 """Correlations: known cases, windows against the step function, streams, merging."""
 
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions.ownership import python_owner_index
 from larkspur.operators import correlate, merge
 from larkspur.plans.model import Correlation, Kind, Token, problem
 from larkspur.sources import contrib, corrfile
@@ -132,6 +135,58 @@ def test_instances_have_their_own_bounds(spark):
     assert found(correlate.instances(df, rules, field, whole, of=3)) == expected(rows, rules, whole)
 
 
+def left_by_engines(rows, rules, caps, of):
+    """Groups that are left by correlation, each event's sweep reaching every instance."""
+    engines, out = [Engine(rules, caps) for _ in range(of)], Counter({c.id: 0 for c in rules})
+    for o, ts, rids, g, h, v in rows:
+        for i, engine in enumerate(engines):
+            if rids:
+                engine.sweep(ts)
+            engine.event(rids, {"g": g, "h": h, "v": v}.get, ts, lambda c, key, i=i: python_owner_index(of, c.id, key) == i)
+    for engine in engines:
+        out.update({c.id: engine.n_groups(i) for i, c in enumerate(rules)})
+    return out
+
+
+@pytest.mark.parametrize("disorder", [0.0, 0.3])
+@pytest.mark.parametrize("caps", [Caps(sweep_s=0.0), Caps(max_groups=2, sweep_s=0.0), Caps(max_groups=2, sweep_s=1e18), Caps(sweep_s=1e18), Caps(sweep_s=200)])
+def test_groups_left_are_those_of_the_engines(spark, caps, disorder):
+    rng = random.Random(5)
+    rows = [(o, ts, rids, rng.choice("abcdefghij"), h, v) for o, ts, rids, g, h, v in stream(12, 150, disorder)]
+    df, field = frame(spark, rows)
+    rules = [Correlation("e", "event_count", (1, 2), 300, group_by=("g",), count=3), Correlation("f", "event_count", (3,), 900, group_by=("g", "h"), count=3)]
+    got = correlate.instances(df, rules, field, caps, of=2, live=True)
+    assert {r["id"]: r["groups"] for r in got.collect()} == left_by_engines(rows, rules, caps, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("MapInArrow" in plan) == (0 < caps.sweep_s < 1e18 or (disorder > 0 and caps == Caps(max_groups=2, sweep_s=0.0)))
+
+
+def test_sweeps_look_at_expired_groups_only():
+    """A sweep with each event, in and out of time order: as all groups looked at, and quickly."""
+
+    class Plain(Engine):
+        def sweep(self, now):
+            self.last_sweep = now if self.last_sweep is None else self.last_sweep
+            if now - self.last_sweep >= self.caps.sweep_s:
+                self.last_sweep = now
+                for c, groups in zip(self.rules, self.groups, strict=True):
+                    for key in [k for k, g in groups.items() if g.last_update < now - c.timespan_s]:
+                        del groups[key]
+
+    c = [Correlation("e", "event_count", (1,), 50, group_by=("g",), count=2), Correlation("f", "event_count", (1,), 400, group_by=("g",), count=2)]
+    rng = random.Random(3)
+    for caps in (Caps(sweep_s=0.0), Caps(sweep_s=7.0, max_groups=9), Caps(sweep_s=0.0, max_groups=25)):
+        quick, plain = Engine(c, caps), Plain(c, caps)
+        for i in range(3_000):
+            ts, g = i / 2 - rng.choice([0, 0, 0, 30, 200, 700]), rng.choice([str(rng.randrange(40)), str(i // 9)])
+            assert quick.event([1], {"g": g}.get, ts) == plain.event([1], {"g": g}.get, ts)
+            assert [list(x) for x in quick.groups] == [list(x) for x in plain.groups]
+    engine, begin = Engine(c[1:], Caps(sweep_s=0.0)), time.perf_counter()
+    for i in range(100_000):
+        engine.event([1], {"g": str(i % 10_000)}.get, i / 100)
+    assert engine.n_groups() == 10_000 and time.perf_counter() - begin < 30
+
+
 def test_counters(spark):
     rows = stream(10)
     df, field = frame(spark, rows)
