@@ -93,6 +93,15 @@ def test_caps(spark, how):
     assert found(correlate.correlate(df, rules, field, caps, how)) == expected(rows, rules, caps)
 
 
+def test_event_counts_are_whole_without_limits(spark):
+    """More events in a time span than an instance's ring has, in both strategies."""
+    df = spark.range(5_000).select(F.col("id").alias("ord"), (F.col("id") / 100).alias("ts"), F.array(F.lit(1).cast("long")).alias("rids"), F.lit("a").alias("g"))
+    c = [Correlation("e", "event_count", (1,), 100, group_by=("g",), count=4_500)]
+    for how in ("auto", "fold"):
+        assert found(correlate.correlate(df, c, from_columns(df), how=how)) == {("e", 4_499, ("a",), 4_500)}
+        assert not found(correlate.correlate(df, c, from_columns(df), Caps(), how))
+
+
 def test_distant_disorder_is_seen(spark):
     """An event far earlier than the one before it, with empty slices between."""
     rows = [(0, 1000.0, [1], "a", "x", "1"), (1, 5000.0, [1], "a", "x", "1"), (2, 3000.0, [1], "a", "x", "1"), (3, 9000.0, [1], "b", "x", "1")]
