@@ -118,3 +118,16 @@ def test_owner(spark):
 
 def test_nan_is_no_number():
     assert text.literal_to_f64("nan") is None and math.isfinite(text.literal_to_f64("1"))
+
+
+def test_query_of_wide_numbers_follows_its_sql(spark, tmp_path):
+    """Users of five digits and more, whose repeated numbers have more than 30."""
+    import duckdb
+
+    from larkspur import queries
+
+    path = str(tmp_path / "events.parquet")
+    duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, u AS user_id, 'click' AS event_type, 1.5 AS value, '{{}}' AS props FROM (VALUES (1, 7), (2, 9999), (3, 10000), (4, 123456)) t(i, u)) TO '{path}'")
+    want = duckdb.sql(queries.ORACLES["to_i64"].replace("FROM events", f"FROM '{path}'")).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["to_i64"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert {r[0]: r[2] for r in want} == {1: 7777777, 2: -(1 << 63), 3: None, 4: None}
