@@ -170,6 +170,29 @@ def test_groups_left_are_those_of_the_engines(spark, caps, disorder):
     assert ("MapInArrow" in plan) == (0 < caps.sweep_s < 1e18 or (disorder > 0 and caps == Caps(max_groups=2, sweep_s=0.0)))
 
 
+@pytest.mark.parametrize("limit", [1, 3, 100])
+def test_limited_groups_in_ranges(spark, limit):
+    """The limit's spells over many ranges of the order and several instances, without a sequence
+    of all events."""
+    rng = random.Random(limit)
+    rows = [(o, ts, rids, rng.choice("abcdef") if o % 40 else "z", h, v) for o, ts, rids, g, h, v in stream(13, 250, 0.2)]
+    df, field = frame(spark, rows)
+    rules = [Correlation("e", "event_count", (1, 2), 300, group_by=("g",), count=2), Correlation("f", "event_count", (3,), 900, group_by=("g", "h"), count=2)]
+    caps, want = Caps(max_groups=limit, sweep_s=1e18), set()
+    for i in range(2):
+        engine = Engine(rules, caps)
+        for o, ts, rids, g, h, v in rows:
+            for x in engine.event(rids, {"g": g, "h": h, "v": v}.get, ts, lambda c, key: python_owner_index(2, c.id, key) == i):
+                want.add((x["corr_id"], o, tuple(x["group"]), x["observed"]))
+    whole = correlate.watched_by_any(df, rules, field)
+    for range_rows in (7, 1_000):
+        spells = correlate._spells(whole, rules, limit, 2, range_rows)
+        fired = correlate.described(correlate.fold(spells, rules, caps, spells=True), rules)
+        assert found(fired) == want
+    got = correlate.instances(df, rules, field, caps, of=2)
+    assert found(got) == want and "spell" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sweeps_look_at_expired_groups_only():
     """A sweep with each event, in and out of time order: as all groups looked at, and quickly."""
 
