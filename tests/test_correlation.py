@@ -170,6 +170,15 @@ def test_groups_left_are_those_of_the_engines(spark, caps, disorder):
     assert ("MapInArrow" in plan) == (0 < caps.sweep_s < 1e18 or (disorder > 0 and caps == Caps(max_groups=2, sweep_s=0.0)))
 
 
+def test_groups_left_are_counted_without_a_sort(spark):
+    """A task of the queries introspect and sweep doesn't hold an instance's events."""
+    from larkspur import queries
+
+    for name in ("introspect", "sweep"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [__key" not in plan and "MapInArrow" not in plan
+
+
 @pytest.mark.parametrize("limit", [1, 3, 100])
 def test_limited_groups_in_ranges(spark, limit):
     """The limit's spells over many ranges of the order and several instances, without a sequence
